@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import encode, mix, repetition, split
+from tidemark.llm import encode, markup, mix, repetition, scan_noise, split
 from tidemark.tables import read
 
 
@@ -13,6 +13,18 @@ def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [read(spark, sf_dir, n) for n in names]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_found(*_tables(spark, sf_dir, "blocks", "chapters"))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_markup(*_tables(spark, sf_dir, "blocks", "chapters"))
+
+
+def p2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.induce_wrappers(*_tables(spark, sf_dir, "blocks", "chapters"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.oversized_items(*_tables(spark, sf_dir, "chapters", "chunks", "books", "size_limits"))
 
@@ -21,6 +33,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_items(*_tables(spark, sf_dir, "chapters", "chunks", "books", "size_limits"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.noise_found(*_tables(spark, sf_dir, "blocks", "chapters", "books", "common_words"))
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.clean_scans(*_tables(spark, sf_dir, "blocks", "chapters", "books", "common_words"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(read(spark, sf_dir, "documents"))
 
@@ -51,7 +71,7 @@ def p10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.depleted(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_share, p10_lines)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p2_wrappers, p3_found, p3_pieces, p7_found, p7_clean, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_share, p10_lines)}
 
 ORACLE = {
     "p3_found": r"""WITH limits AS (SELECT item_kind, source_kind, max_chars FROM size_limits),
