@@ -60,7 +60,7 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
         return [0.0] * len(FEATURES)
     words = [w.lower() for w in _WORD.findall(text)]
     n, m, k, chars = len(tokens), max(1, len(words)), len(lines), sum(map(len, tokens))
-    found = [sum(w in c for w in words) for c in common.values()]
+    found = [sum(w in c for w in words if len(w) > 1) for c in common.values()]  # single letters are no evidence
     digits = sum(ch.isdigit() for ch in text)
     letters = sum(ch.isalpha() for ch in text)
     seps = [len(_DELIMITER.findall(x.strip())) for x in lines]
@@ -99,6 +99,8 @@ def weak_label(x: Sequence[float]) -> int:
     lines, words = np.expm1(v["log_lines"]), np.expm1(v["log_words"])
     if v["common_share"] >= 0.1 and v["sentence_share"] >= 0.25 and v["letter_share"] > 0.7 and v["digit_ratio"] < 0.08 and words >= 8 and v["item_share"] < 0.2 and v["delimiters"] < 0.5:
         return 0
+    if words >= 8 and (v["symbol_ratio"] > 0.7 or (v["single_share"] > 0.7 and v["common_share"] < 0.1 and v["digit_ratio"] < 0.5)):
+        return 3
     if lines >= 3 and v["delimiters"] >= 0.9 and v["delimiter_spread"] < 0.35 and v["item_share"] < 0.2 and v["vowelless_share"] < 0.25 and v["mixed_share"] < 0.1 and v["single_share"] < 0.6 and v["digit_ratio"] > 0.05:
         return 2
     if lines >= 3 and (v["item_share"] >= 0.8 or v["number_end_share"] >= 0.8) and v["delimiters"] < 0.5 and v["vowelless_share"] < 0.2 and v["letter_share"] > 0.35 and v["mixed_share"] < 0.1:
