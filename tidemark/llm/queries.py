@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import encode, markup, mix, quality, repetition, scan_noise, split
+from tidemark.llm import encode, markup, mix, pairs, quality, repetition, scan_noise, split
 from tidemark.tables import read
 
 
@@ -41,6 +41,14 @@ def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_catalog(*_tables(spark, sf_dir, "chapters", "common_words"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(*_tables(spark, sf_dir, "cleaned_chunks", "common_words"))
+
+
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pair_defects(*_tables(spark, sf_dir, "cleaned_chunks", "common_words"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_noise.noise_found(*_tables(spark, sf_dir, "blocks", "chapters", "books", "common_words"))
 
@@ -79,7 +87,7 @@ def p10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.depleted(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p2_wrappers, p3_found, p3_pieces, p4_found, p4_statistics, p7_found, p7_clean, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_share, p10_lines)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p2_wrappers, p3_found, p3_pieces, p4_found, p4_statistics, p6_found, p6_pairs, p7_found, p7_clean, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_share, p10_lines)}
 
 ORACLE = {
     "p3_found": r"""WITH limits AS (SELECT item_kind, source_kind, max_chars FROM size_limits),
