@@ -74,7 +74,8 @@ def due_sections(sections: DataFrame, section_state: DataFrame, book_runs: DataF
         never.cast("struct<started_at:timestamp_ntz,written_at:timestamp_ntz,hash:string>").alias("done"),
     )
     runs = successful_runs(book_runs, books)
-    written = section_state.where("run_id IS NOT NULL AND book_id IS NOT NULL").join(small(runs), ["run_id", "book_id"])
+    state = section_state.where("run_id IS NOT NULL AND book_id IS NOT NULL").select("run_id", *key, "text_hash", "written_at")
+    written = state.join(small(runs), ["run_id", "book_id"])
     recorded = written.select(
         *key,
         never.cast("struct<updated_at:timestamp_ntz,received_at:timestamp_ntz,hash:string>").alias("feed"),

@@ -55,7 +55,7 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
 @register(".md", ".markdown")
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Sections by headings outside code fences; the words before the first heading are a section named for the file."""
-    files = _files(spark, path, "*.{md,markdown}").select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    files = _files(spark, path, "*.{md,markdown}").select("path", F.decode("content", "UTF-8").alias("text"))
     sections = markdown_sections(text_lines(files, ["path"]), ["path"], LEAST_WORDS)
     stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
     named = F.coalesce("title", F.initcap(F.regexp_replace(stem, "[_-]+", " ")))
@@ -171,7 +171,7 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
     """(path, url, title, cache_key) of link files: the first line that is neither blank nor a comment, and the second."""
-    files = _files(spark, path, "*.url").select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    files = _files(spark, path, "*.url").select("path", F.decode("content", "UTF-8").alias("text"))
     lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     url = F.try_element_at(lines, F.lit(1))
     return files.select("path", url.alias("url"), F.try_element_at(lines, F.lit(2)).alias("title"), F.substring(F.sha2(url.cast("binary"), 256), 1, 24).alias("cache_key"))
