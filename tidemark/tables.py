@@ -29,6 +29,29 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(table: DataFrame, limit: int = 128 << 20) -> DataFrame:
+    """A scanned table over all cores before costly Python work, if it lies in fewer partitions and is small.
+
+    Larger tables have partitions enough and are left where they are scanned.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if estimated_bytes(table) > limit or table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores)
+
+
+def training_rows(table: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About ``rows`` rows of a table to fit a model on, by the hash of their keys; all of a smaller table.
+
+    Only models are fitted on this, so that fitting costs the same at any size of the data.
+    """
+    n = table.count()
+    if n <= rows:
+        return table
+    step = -(-n // rows)
+    return table.where(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir), set here only if unset, as in tests."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
