@@ -16,10 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.tables import spread, training_rows
+
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 DEFECTS = ("empty", "refusal", "other_language", "truncated", "copied")
 #: Pairs that the field is trained on, of each weakly labelled defect and of sound ones; those with the least hashes.
 SAMPLE = 500
+#: Pairs that are labelled for training, at most, by the hash of their key; all are tagged.
+TRAIN_PAIRS = 40_000
 #: Clauses of a response that training looks at; tagging looks at all.
 TRAIN_CLAUSES = 12
 
@@ -299,9 +303,9 @@ def pair_defects(cleaned_chunks: DataFrame, common_words: DataFrame, sample: int
     from tidemark.llm.quality import common_lists
 
     common = common_lists(common_words)
-    pairs = cleaned_chunks.select("raw_text", "cleaned_text", "instruct")
-    field = train(pairs, common, sample)
-    rows = cleaned_chunks.select("book_id", "chapter_index", "chunk_index", "raw_text", "cleaned_text", "instruct")
+    some = training_rows(cleaned_chunks, TRAIN_PAIRS, "book_id", "chapter_index", "chunk_index")
+    field = train(spread(some.select("raw_text", "cleaned_text", "instruct")), common, sample)
+    rows = spread(cleaned_chunks.select("book_id", "chapter_index", "chunk_index", "raw_text", "cleaned_text", "instruct"))
     return rows.mapInArrow(_tagger(field, common), _DDL).distinct()
 
 

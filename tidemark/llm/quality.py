@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.quality_holdout import HOLDOUT
+from tidemark.tables import spread, training_rows
 
 KINDS = ("prose", "list", "table", "junk")
 #: Weakly labelled passages of each kind that the trees are grown on, at most; the ones with the least hashes.
 SAMPLE = 1500
+#: Chapters that are labelled for training, at most, by the hash of their key; all are classified.
+TRAIN_CHAPTERS = 20_000
 FEATURES = ("log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punct_line_share", "common_share", "log_lines", "mean_line_words", "item_share", "number_end_share", "delimiters", "delimiter_spread", "vowelless_share", "single_share", "mixed_share", "letter_share", "capital_share", "long_share", "sentence_share")
 
 _PASSAGE = re.compile(r"\n\s*\n")
@@ -229,7 +232,8 @@ def train(chapters: DataFrame, common: dict[str, frozenset[str]], sample: int =
     The sample is the passages with the least hash of their statistics, so it does not depend
     on partitioning; only it reaches the driver.  The holdout stands in for kinds the data lack.
     """
-    texts = chapters.where("text IS NOT NULL AND trim(text) <> ''").select("text", "chapter_title")
+    some = training_rows(chapters, TRAIN_CHAPTERS, "book_id", "chapter_index")
+    texts = spread(some.select("text", "chapter_title")).where("text IS NOT NULL AND trim(text) <> ''")
     labelled = texts.mapInArrow(_sampler(common), "kind int, x array<double>").withColumn("h", F.xxhash64("x", F.lit(4)))
     first = F.row_number().over(Window.partitionBy("kind").orderBy("h", "x"))
     rows = labelled.withColumn("rank", first).where(F.col("rank") <= sample).orderBy("kind", "rank").select("kind", "x").collect()
@@ -280,7 +284,7 @@ def chapter_quality(chapters: DataFrame, common_words: DataFrame, sample: int =
     """
     common = common_lists(common_words)
     model = train(chapters, common, sample)
-    texts = chapters.where("text IS NOT NULL AND trim(text) <> ''").select("book_id", "chapter_index", "text", "chapter_title")
+    texts = spread(chapters.select("book_id", "chapter_index", "text", "chapter_title")).where("text IS NOT NULL AND trim(text) <> ''")
     rows = texts.mapInArrow(_classifier(model, common), _STATS)
     other = F.greatest("list_words", "table_words", "junk_words")
     kind = F.when((F.col("words") == 0) | (F.col("prose_words") * 2 >= F.col("words")), "prose")
