@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions import units
+from tidemark.functions import records, units
 from tidemark.operators import documents as D
+from tidemark.operators import notes as N
+from tidemark.operators import outline as O
 from tidemark.tables import read
 
 
@@ -140,9 +142,40 @@ def book_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "books").select("book_id", units.source_kind(F.col("source_path")).alias("kind"))
 
 
+def plain_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and notes recovered from the flat text of chapters."""
+    return N.document_blocks(read(spark, sf_dir, "chapters")).select("book_id", "chapter_index", "block_pos", "kind", "text", "note_number", "parent_id")
+
+
+def placed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11: chapters with notes put where they are called."""
+    rows = read(spark, sf_dir, "chapters").where("text IS NOT NULL")
+    return rows.select("book_id", "chapter_index", N.place_notes_udf("text").alias("text"))
+
+
+def chapter_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running start and end of chapters from their words, a gap after each but the last."""
+    rows = D.catalog(read(spark, sf_dir, "chapters")).select("book_id", "chapter_index", (F.col("word_count") * 400).alias("ms"))
+    return O.chapter_marks(rows, "book_id", "chapter_index", "ms", 1500).select("book_id", "chapter_index", "start", "end")
+
+
+def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished lines of a run so far, in order of the ledger."""
+    rows = read(spark, sf_dir, "book_runs").select("run_id", "source_path", "logged_at", "status").distinct().withColumn("pos", F.struct("logged_at", "source_path", "status"))
+    done = F.lower(F.trim("status")) == "ok"
+    return O.progress(rows, "run_id", "pos", done).groupBy("run_id").agg(F.max("done").alias("done"), F.sum("done").alias("sum_done"), F.max("of").alias("of"))
+
+
+def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """answers kept or replaced by their passage, hints kept or dropped."""
+    rows = read(spark, sf_dir, "cleaned_chunks").select("book_id", "chapter_index", "chunk_index", "raw_text", "cleaned_text", "instruct").distinct()
+    answer, hint = records.guarded_answer(F.col("raw_text"), F.col("cleaned_text")), records.guarded_hint(F.col("instruct"), F.col("raw_text"))
+    return rows.select("book_id", "chapter_index", "chunk_index", F.md5(answer.cast("binary")).alias("answer"), hint.alias("hint"))
+
+
 QUERIES = {
     f"ref_{f.__name__}": f
-    for f in (catalog, kept_chapters, slugs, chapter_pages, chapter_texts, narration, spoken, clean_sections, note_windows, format_chunks, speak_batches, capacity, run_summary, stage_seconds, stale_chunks, running_headers, without_references, markdown_chapters, notes, fingerprints, book_kinds)
+    for f in (catalog, kept_chapters, slugs, chapter_pages, chapter_texts, narration, spoken, clean_sections, note_windows, format_chunks, speak_batches, capacity, run_summary, stage_seconds, stale_chunks, running_headers, without_references, markdown_chapters, notes, fingerprints, book_kinds, plain_blocks, placed_notes, chapter_marks, run_progress, guarded_answers)
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')"
@@ -180,5 +213,15 @@ SELECT book_id, chapter_index, sha256(string_agg(sha256(text), '' ORDER BY block
 o AS (SELECT book_id, 1 + coalesce(sum(n) OVER (PARTITION BY book_id ORDER BY chapter_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS page, sum(n) OVER (PARTITION BY book_id) AS pages FROM p),
 e AS (SELECT book_id, pages, greatest(page, coalesce(lead(page) OVER (PARTITION BY book_id ORDER BY page), pages) - 1) AS end_page FROM o)
 SELECT book_id, CAST(max(end_page) AS BIGINT) AS last_page, count(*) AS chapters, CAST(max(pages) AS BIGINT) AS pages FROM e GROUP BY book_id""",
+    "ref_chapter_marks": _CATALOG
+    + """, d AS (SELECT book_id, chapter_index, word_count * 400 + CASE WHEN lead(chapter_index) OVER w IS NULL THEN 0 ELSE 1500 END AS length FROM c WINDOW w AS (PARTITION BY book_id ORDER BY chapter_index))
+SELECT book_id, chapter_index, CAST(sum(length) OVER w - length AS BIGINT) AS start, CAST(sum(length) OVER w AS BIGINT) AS "end" FROM d WINDOW w AS (PARTITION BY book_id ORDER BY chapter_index)""",
+    "ref_run_progress": """WITH d AS (SELECT DISTINCT run_id, source_path, logged_at, status FROM book_runs),
+p AS (SELECT run_id, count(*) FILTER (lower(trim(status)) = 'ok') OVER (PARTITION BY run_id ORDER BY logged_at, source_path, status ROWS UNBOUNDED PRECEDING) AS done, count(*) OVER (PARTITION BY run_id) AS n FROM d)
+SELECT run_id, max(done) AS done, CAST(sum(done) AS BIGINT) AS sum_done, max(n) AS "of" FROM p GROUP BY run_id""",
+    "ref_guarded_answers": rf"""WITH d AS (SELECT DISTINCT book_id, chapter_index, chunk_index, raw_text, cleaned_text, instruct, regexp_replace(regexp_replace(trim(instruct), '^["''`]+', ''), '["''`]+$', '') AS h FROM cleaned_chunks),
+n AS (SELECT *, len({_WORDS.replace("text", "raw_text")}) AS rn, len({_WORDS.replace("text", "cleaned_text")}) AS cn, len({_WORDS.replace("text", "h")}) AS hn FROM d)
+SELECT book_id, chapter_index, chunk_index, md5(CASE WHEN rn > 0 AND (cleaned_text IS NULL OR trim(cleaned_text) = '' OR cn > rn * 2.5) THEN raw_text ELSE cleaned_text END) AS answer,
+  CASE WHEN NOT (h = '' OR length(h) > 400 OR hn > 60 OR regexp_matches(h, '\[[A-Za-z][^\]]*\]') OR coalesce(trim(raw_text) <> '' AND contains(trim(raw_text), h), false) OR coalesce(hn > 40 AND length(h) > 0.5 * length(trim(raw_text)), false)) THEN h END AS hint FROM n""",
     "ref_book_kinds": r"SELECT book_id, CASE WHEN regexp_matches(lower(source_path), '\.(html|htm|url)$') THEN 'page' ELSE 'ebook' END AS kind FROM books",
 }
