@@ -66,7 +66,7 @@ def guarded_answer(raw: Column, cleaned: Column, most: float = 2.5) -> Column:
     from tidemark.functions.text import word_count
 
     n = word_count(raw)
-    bad = cleaned.isNull() | (F.trim(cleaned) == "") | (word_count(cleaned) > n * most)
+    bad = (word_count(cleaned) == 0) | (word_count(cleaned) > n * most)
     return F.when((n > 0) & bad, raw).otherwise(cleaned)
 
 

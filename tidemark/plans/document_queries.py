@@ -178,7 +178,7 @@ QUERIES = {
     for f in (catalog, kept_chapters, slugs, chapter_pages, chapter_texts, narration, spoken, clean_sections, note_windows, format_chunks, speak_batches, capacity, run_summary, stage_seconds, stale_chunks, running_headers, without_references, markdown_chapters, notes, fingerprints, book_kinds, plain_blocks, placed_notes, chapter_marks, run_progress, guarded_answers)
 }
 
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\s\x0b\x{85}\p{Z}]+'), lambda x: x <> '')"
 _CATALOG = rf"""WITH w AS (SELECT book_id, chapter_index, coalesce(chapter_title, '') AS t, coalesce(text, '') AS text, {_WORDS} AS ws FROM chapters),
 s AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda x: regexp_matches(x, '\d'))) / greatest(len(ws), 1) AS share, length(text) - length(replace(text, ':', '')) AS colons FROM w),
 c AS (SELECT book_id, chapter_index, CAST(n AS INT) AS word_count, array_to_string(ws[1:40], ' ') || CASE WHEN n > 40 THEN '…' ELSE '' END AS preview,
@@ -221,7 +221,7 @@ p AS (SELECT run_id, count(*) FILTER (lower(trim(status)) = 'ok') OVER (PARTITIO
 SELECT run_id, max(done) AS done, CAST(sum(done) AS BIGINT) AS sum_done, max(n) AS "of" FROM p GROUP BY run_id""",
     "ref_guarded_answers": rf"""WITH d AS (SELECT DISTINCT book_id, chapter_index, chunk_index, raw_text, cleaned_text, instruct, regexp_replace(regexp_replace(trim(instruct), '^["''`]+', ''), '["''`]+$', '') AS h FROM cleaned_chunks),
 n AS (SELECT *, len({_WORDS.replace("text", "raw_text")}) AS rn, len({_WORDS.replace("text", "cleaned_text")}) AS cn, len({_WORDS.replace("text", "h")}) AS hn FROM d)
-SELECT book_id, chapter_index, chunk_index, md5(CASE WHEN rn > 0 AND (cleaned_text IS NULL OR trim(cleaned_text) = '' OR cn > rn * 2.5) THEN raw_text ELSE cleaned_text END) AS answer,
+SELECT book_id, chapter_index, chunk_index, md5(CASE WHEN rn > 0 AND (cn = 0 OR cn > rn * 2.5) THEN raw_text ELSE cleaned_text END) AS answer,
   CASE WHEN NOT (h = '' OR length(h) > 400 OR hn > 60 OR regexp_matches(h, '\[[A-Za-z][^\]]*\]') OR coalesce(trim(raw_text) <> '' AND contains(trim(raw_text), h), false) OR coalesce(hn > 40 AND length(h) > 0.5 * length(trim(raw_text)), false)) THEN h END AS hint FROM n""",
     "ref_book_kinds": r"SELECT book_id, CASE WHEN regexp_matches(lower(source_path), '\.(html|htm|url)$') THEN 'page' ELSE 'ebook' END AS kind FROM books",
 }
