@@ -9,6 +9,7 @@ chapter is then classified.  A chapter is what most of its words stand in.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,6 +35,8 @@ _SENTENCE = re.compile(r"[^\W\d_]{2,}[.!?…][\"'”’»)\]]*(?=\s|$)")
 _ITEM = re.compile(r"\s*(?:[-*+•–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S|\s*\d+ \w+, ")
 _NUMBER_END = re.compile(r"(?:[.\s]{3,}|,\s|\s)\d{1,4}$")
 _DELIMITER = re.compile(r"\s?\|\s?|;|\t|,(?=\S)|(?<=\S) {2,}(?=\S)")
+_ALNUM = re.compile(r"[^\W_]")
+_DIGIT_TOKEN, _LETTER = re.compile(r"\S*\d\S*"), re.compile(r"[^\W\d_]")
 _VOWELS = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüœ]", re.I)
 
 
@@ -52,7 +55,7 @@ def passages(text: str, title: str | None) -> list[str]:
 def words_of(passage: str) -> int:
     """Words as the share of prose counts them: tokens with a letter or digit, or all tokens if none has."""
     tokens = passage.split()
-    return sum(any(c.isalnum() for c in t) for t in tokens) or len(tokens)
+    return sum(_ALNUM.search(t) is not None for t in tokens) or len(tokens)
 
 
 def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
@@ -63,9 +66,12 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
         return [0.0] * len(FEATURES)
     words = [w.lower() for w in _WORD.findall(text)]
     n, m, k, chars = len(tokens), max(1, len(words)), len(lines), sum(map(len, tokens))
-    found = [sum(w in c for w in words if len(w) > 1) for c in common.values()]  # single letters are no evidence
-    digits = sum(ch.isdigit() for ch in text)
-    letters = sum(ch.isalpha() for ch in text)
+    every = frozenset().union(*common.values()) if len(common) != 1 else next(iter(common.values()))
+    usual = [w for w in words if len(w) > 1 and w in every]  # single letters are no evidence
+    found = [sum(w in c for w in usual) for c in common.values()]
+    signs = Counter(text)
+    digits = sum(k for ch, k in signs.items() if ch.isdigit())
+    letters = sum(k for ch, k in signs.items() if ch.isalpha())
     seps = [len(_DELIMITER.findall(x.strip())) for x in lines]
     mean_sep = sum(seps) / k
     spread = (sum((s - mean_sep) ** 2 for s in seps) / k) ** 0.5
@@ -85,7 +91,7 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
         min(5.0, spread / (mean_sep + 0.25)),
         sum(not _VOWELS.search(w) for w in long_words) / max(1, len(long_words)),
         sum(len(t) == 1 for t in tokens) / n,
-        sum(any(c.isdigit() for c in t) and any(c.isalpha() for c in t) for t in tokens) / n,
+        sum(_LETTER.search(t) is not None for t in _DIGIT_TOKEN.findall(text)) / n if digits else 0.0,
         letters / chars,
         sum(t[0].isupper() for t in tokens) / n,
         sum(len(t) > 20 for t in tokens) / n,
@@ -250,7 +256,7 @@ def train(chapters: DataFrame, common: dict[str, frozenset[str]], sample: int =
 _STATS = "book_id bigint, chapter_index int, words int, mean_word_length double, symbol_ratio double, punct_line_share double, common_share double, prose_words int, list_words int, table_words int, junk_words int, prose_probability double"
 
 
-def _classifier(model: Trees, common: dict[str, frozenset[str]]):
+def _classifier(model: Trees, common: dict[str, frozenset[str]], details: bool):
     named = [x.split()[0] for x in _STATS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +270,7 @@ def _classifier(model: Trees, common: dict[str, frozenset[str]]):
             n, k = b.num_rows, len(KINDS)
             by_kind = np.bincount(owner * k + prob.argmax(1), size, n * k).reshape(n, k).astype(np.int64) if flat else np.zeros((n, k), np.int64)
             prose = np.bincount(owner, prob[:, 0] * size, n) / np.maximum(by_kind.sum(1), 1) if flat else np.zeros(n)
-            whole = np.array([statistics("\n\n".join(p), common) for p in parts]).reshape(n, -1)
+            whole = np.array([statistics("\n\n".join(p), common) for p in parts]).reshape(n, -1) if details else np.zeros((n, len(FEATURES)))
             of = lambda f: pa.array(whole[:, _AT[f]], pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [b.column("book_id"), b.column("chapter_index"), pa.array(by_kind.sum(1), pa.int32()), of("mean_word_length"), of("symbol_ratio"), of("punct_line_share"), of("common_share"), *[pa.array(by_kind[:, i], pa.int32()) for i in range(k)], pa.array(prose, pa.float64())],
@@ -274,18 +280,19 @@ def _classifier(model: Trees, common: dict[str, frozenset[str]]):
     return run
 
 
-def chapter_quality(chapters: DataFrame, common_words: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def chapter_quality(chapters: DataFrame, common_words: DataFrame, sample: int = SAMPLE, details: bool = True) -> DataFrame:
     """Statistics and kind of every chapter with text: (book_id, chapter_index, words, mean_word_length,
     symbol_ratio, punct_line_share, common_share, <kind>_words, prose_probability, kind).
 
     ``kind`` is prose unless most words stand in other passages, and then the kind most of
-    those stand in (ties: list, table, junk).  Chapters without text are not listed; the
+    those stand in (ties: list, table, junk).  Without ``details`` the statistics of the whole
+    text are 0 and only the kind and the words are worked out.  Chapters without text are not listed; the
     title that opens a chapter counts for nothing.
     """
     common = common_lists(common_words)
     model = train(chapters, common, sample)
     texts = spread(chapters.select("book_id", "chapter_index", "text", "chapter_title")).where("text IS NOT NULL AND trim(text) <> ''")
-    rows = texts.mapInArrow(_classifier(model, common), _STATS)
+    rows = texts.mapInArrow(_classifier(model, common, details), _STATS)
     other = F.greatest("list_words", "table_words", "junk_words")
     kind = F.when((F.col("words") == 0) | (F.col("prose_words") * 2 >= F.col("words")), "prose")
     for k in KINDS[1:]:
@@ -295,7 +302,7 @@ def chapter_quality(chapters: DataFrame, common_words: DataFrame, sample: int =
 
 def not_prose(chapters: DataFrame, common_words: DataFrame) -> DataFrame:
     """(book_id, chapter_index, kind) of the chapters that are no prose (query p4_found)."""
-    return chapter_quality(chapters, common_words).where("kind <> 'prose'").select("book_id", "chapter_index", "kind").distinct()
+    return chapter_quality(chapters, common_words, details=False).where("kind <> 'prose'").select("book_id", "chapter_index", "kind").distinct()
 
 
 def with_catalog(chapters: DataFrame, common_words: DataFrame) -> DataFrame:
