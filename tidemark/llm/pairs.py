@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ TRAIN_CLAUSES = 12
 
 # Marks a sound answer drops, and what refusals are made of.
 _MARK = re.compile(r"\(\s*(?:https?://|www\.)[^\s)]*\s*\)|https?://[^\s)\]}”\"]+|www\.[^\s)\]}”\"]*[^\s)\]}”\".,;:!?]|\([^()\d]{2,60}\b(?:1[4-9]|20)\d\d[a-z]?(?:,\s*(?:pp?|S|s)\.?\s*\d+(?:[-–]\d+)?)?\)|\[\^?\d{1,4}\]|\((?:see|cf\.?|siehe|voir|véase|vedi|ver|zie)\s+\w+\s+\d+\)|[¹²³⁴⁵⁶⁷⁸⁹⁰]+|(?<=\w)[†‡]|(?<=[.!?])[†‡*]+(?=\s|$)")
+_MAY_MARK = re.compile(r"[(\[¹²³⁴⁵⁶⁷⁸⁹⁰†‡*]|https?:|www\.")
 _REFUSAL = re.compile(
     r"\b(?:as an? (?:ai|artificial|language)|language model|ai assistant|i(?:'m| am) (?:sorry|unable|not able)|i apologi[sz]e|my apologies|^sorry\b|^unfortunately\b|i (?:cannot|can not|can['’]t|won['’]t|must decline|am not able)|not be appropriate|against my guidelines|(?:be|was) harmful|be protected|different passage|anything else i can|(?:complete|process) th(?:is|e|at) (?:request|text)"
     r"|tut mir leid|bedaure|sprachmodell|leider (?:kann|darf|ist)|ich (?:kann|darf) (?:diesen?|ihnen|dir|hier|dabei)|(?:nicht|nichts) (?:helfen|bearbeiten|verarbeiten|möglich)|nicht in der lage"
@@ -62,7 +64,19 @@ def clauses(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=8)
+def _union(lists: tuple[frozenset[str], ...]) -> frozenset[str]:
+    return frozenset().union(*lists)
+
+
+def _marks(text: str) -> list[str]:
+    """The marks of a text; most texts have no character that begins one."""
+    return _MARK.findall(text) if _MAY_MARK.search(text) else []
+
+
 def _language(words: list[str], common: dict[str, frozenset[str]]) -> tuple[str | None, dict[str, int]]:
+    every = _union(tuple(common.values()))
+    words = [w for w in words if w in every]
     votes = {k: sum(w in c for w in words) for k, c in common.items()}
     best = max(votes.values(), default=0)
     return (next(k for k, v in sorted(votes.items()) if v == best) if best else None), votes
@@ -77,8 +91,7 @@ def describe(raw: str | None, cleaned: str | None, instruct: str | None, common:
     raw_text = " " + " ".join(raw_words) + " "
     raw_whole = " " + " ".join(_WORD.findall(raw.lower())) + " "
     language, votes = _language(raw_words, common)
-    marks = len(_MARK.findall(raw))
-    kept = len(_MARK.findall(cleaned))
+    marks, kept = len(_marks(raw)), len(_marks(cleaned))
     own = clauses(cleaned)
     cleaned_words = _WORD.findall(_MARK.sub(" ", cleaned).lower())
     short = len(raw_words) - len(cleaned_words) >= 4 and len(cleaned_words) < 0.85 * len(raw_words)
@@ -101,10 +114,10 @@ def describe(raw: str | None, cleaned: str | None, instruct: str | None, common:
         x[_AT["language_unknown" if language is None or best < 2 else "language_same" if same else "language_other"]] = 1
         x[_AT["verbatim" if verbatim else "reworded"]] = 1
         x[_AT["reworded_other"]] = not verbatim and x[_AT["language_other"]] > 0
-        if _REFUSAL.search(clause):
+        if not verbatim and _REFUSAL.search(clause):
             x[_AT["cue_in_passage" if " ".join(words) in raw_text else "cue"]] = 1
             x[_AT["cue_short"]] = len(cleaned_words) < 45 and not hint and " ".join(words) not in raw_text
-        x[_AT["marked"]] = bool(_MARK.search(clause))
+        x[_AT["marked"]] = bool(_marks(clause))
         if marks:
             x[_AT["marks_kept" if kept * 2 > marks else "marks_dropped"]] = 1
         x[_AT["kept_mark"]] = x[_AT["marked"]] and x[_AT["marks_kept"]]
