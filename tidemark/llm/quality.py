@@ -31,12 +31,12 @@ _PASSAGE = re.compile(r"\n\s*\n")
 _TOKEN = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _ENDS = re.compile(r"[.!?…:;,][\"'”’»)\]]*$")
-_SENTENCE = re.compile(r"[^\W\d_]{2,}[.!?…][\"'”’»)\]]*(?=\s|$)")
+_SENTENCE = re.compile(r"(?<=[^\W\d_][^\W\d_])[.!?…][\"'”’»)\]]*(?=\s|$)")
 _ITEM = re.compile(r"\s*(?:[-*+•–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S|\s*\d+ \w+, ")
 _NUMBER_END = re.compile(r"(?:[.\s]{3,}|,\s|\s)\d{1,4}$")
 _DELIMITER = re.compile(r"\s?\|\s?|;|\t|,(?=\S)|(?<=\S) {2,}(?=\S)")
 _ALNUM = re.compile(r"[^\W_]")
-_DIGIT_TOKEN, _LETTER = re.compile(r"\S*\d\S*"), re.compile(r"[^\W\d_]")
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 _VOWELS = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüœ]", re.I)
 
 
@@ -61,7 +61,7 @@ def words_of(passage: str) -> int:
 def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
     """The FEATURES of one text; common_share is that of the language it fits best.  All 0 for an empty text."""
     tokens = text.split()
-    lines = [x for x in text.split("\n") if x.strip()]
+    lines = [x for x in map(str.rstrip, text.split("\n")) if x]
     if not tokens:
         return [0.0] * len(FEATURES)
     words = [w.lower() for w in _WORD.findall(text)]
@@ -72,7 +72,7 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
     signs = Counter(text)
     digits = sum(k for ch, k in signs.items() if ch.isdigit())
     letters = sum(k for ch, k in signs.items() if ch.isalpha())
-    seps = [len(_DELIMITER.findall(x.strip())) for x in lines]
+    seps = [len(_DELIMITER.findall(x.lstrip())) for x in lines]
     mean_sep = sum(seps) / k
     spread = (sum((s - mean_sep) ** 2 for s in seps) / k) ** 0.5
     long_words = [w for w in words if len(w) > 2]
@@ -81,17 +81,17 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> list[float]:
         min(40.0, sum(map(len, words)) / m if words else chars / n),
         (chars - digits - letters) / chars,
         digits / chars,
-        sum(bool(_ENDS.search(x.rstrip())) for x in lines) / k,
+        sum(bool(_ENDS.search(x[-8:])) for x in lines) / k,
         max(found, default=0) / max(m, n),
         float(np.log1p(k)),
         min(60.0, n / k),
         sum(bool(_ITEM.match(x)) for x in lines) / k,
-        sum(bool(_NUMBER_END.search(x.rstrip())) for x in lines) / k,
+        sum(x[-1].isdigit() and bool(_NUMBER_END.search(x[-24:])) for x in lines) / k,
         min(20.0, mean_sep),
         min(5.0, spread / (mean_sep + 0.25)),
         sum(not _VOWELS.search(w) for w in long_words) / max(1, len(long_words)),
         sum(len(t) == 1 for t in tokens) / n,
-        sum(_LETTER.search(t) is not None for t in _DIGIT_TOKEN.findall(text)) / n if digits else 0.0,
+        sum(_DIGIT.search(t) is not None and _LETTER.search(t) is not None for t in tokens if not t.isalpha()) / n if digits else 0.0,
         letters / chars,
         sum(t[0].isupper() for t in tokens) / n,
         sum(len(t) > 20 for t in tokens) / n,
