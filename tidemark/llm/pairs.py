@@ -46,7 +46,7 @@ _WORD = re.compile(r"\w+")
 _PAGE = re.compile(r"\n\s*\d{1,4}\s*\n")
 _STOP = re.compile(r"[.!?][\"'”’»)\]]*\s*$")
 
-FEATURES = ("bias", "known_all", "known_part", "known_none", "language_same", "language_other", "language_unknown", "cue", "cue_short", "cue_in_passage", "marked", "marks_kept", "marks_dropped", "first", "last", "open_end", "cut_short", "passage_open", "hint", "hint_copies", "alone", "last_cut", "cut_open", "unknown_other", "verbatim", "reworded", "reworded_other", "kept_mark")
+FEATURES = ("bias", "known_all", "known_part", "known_none", "language_same", "language_other", "language_unknown", "cue", "cue_short", "cue_in_passage", "marked", "marks_kept", "marks_dropped", "first", "last", "open_end", "cut_short", "passage_open", "hint", "hint_copies", "alone", "last_cut", "cut_open", "unknown_other", "verbatim", "reworded", "reworded_other", "kept_mark", "hint_own", "reworded_unknown")
 _AT = {f: i for i, f in enumerate(FEATURES)}
 
 
@@ -74,6 +74,10 @@ def _marks(text: str) -> list[str]:
     return _MARK.findall(text) if _MAY_MARK.search(text) else []
 
 
+def _unmarked(text: str) -> str:
+    return _MARK.sub(" ", text) if _MAY_MARK.search(text) else text
+
+
 def _language(words: list[str], common: dict[str, frozenset[str]]) -> tuple[str | None, dict[str, int]]:
     every = _union(tuple(common.values()))
     words = [w for w in words if w in every]
@@ -85,33 +89,45 @@ def _language(words: list[str], common: dict[str, frozenset[str]]) -> tuple[str
 def describe(raw: str | None, cleaned: str | None, instruct: str | None, common: dict[str, frozenset[str]]) -> tuple[np.ndarray, list[int]]:
     """(feature rows, words) of the clauses of a response: those of the cleaned text, then those of the hint."""
     raw, cleaned, instruct = raw or "", cleaned or "", instruct or ""
-    plain = _MARK.sub(" ", _PAGE.sub("\n", raw))
+    plain = _unmarked(_PAGE.sub("\n", raw) if "\n" in raw else raw)
     raw_words = _WORD.findall(plain.lower())
-    raw_set = set(raw_words) | set(_WORD.findall(raw.lower()))
+    all_words = _WORD.findall(raw.lower()) if plain is not raw else raw_words
+    raw_set = set(all_words) | set(raw_words)
     raw_text = " " + " ".join(raw_words) + " "
-    raw_whole = " " + " ".join(_WORD.findall(raw.lower())) + " "
+    raw_whole = " " + " ".join(all_words) + " "
     language, votes = _language(raw_words, common)
     marks, kept = len(_marks(raw)), len(_marks(cleaned))
     own = clauses(cleaned)
-    cleaned_words = _WORD.findall(_MARK.sub(" ", cleaned).lower())
+    cleaned_words = _WORD.findall(_unmarked(cleaned).lower())
     short = len(raw_words) - len(cleaned_words) >= 4 and len(cleaned_words) < 0.85 * len(raw_words)
     open_passage = not _STOP.search(plain.strip())
-    inside = lambda c: " " + " ".join(_WORD.findall(_MARK.sub(" ", c).lower())) in raw_text or " " + " ".join(_WORD.findall(c.lower())) in raw_whole  # noqa: E731 (the last word may be cut)
-    verbatims = [inside(c) for c in own]
-    pooled = [w for c, v in zip(own, verbatims, strict=True) if not v for w in _WORD.findall(c.lower())]
+
+    def inside(clause: str, words: list[str]) -> bool:  # the last word may be cut
+        if " " + " ".join(words) in raw_whole:
+            return True
+        bare = _unmarked(clause)
+        return " " + " ".join(words if bare is clause else _WORD.findall(bare.lower())) in raw_text
+
+    spoken_words = [_WORD.findall(c.lower()) for c in own]
+    verbatims = [inside(c, w) for c, w in zip(own, spoken_words, strict=True)]
+    pooled = [x for w, v in zip(spoken_words, verbatims, strict=True) if not v for x in w]
+    pooled_language = _language(pooled, common)
     rows, sizes = [], []
     for i, clause in enumerate([*own, *clauses(instruct)]):
         hint = i >= len(own)
-        words = _WORD.findall(clause.lower())
+        words = _WORD.findall(clause.lower()) if hint else spoken_words[i]
         x = np.zeros(len(FEATURES), np.float32)
         x[_AT["bias"]] = 1
         known = sum(w in raw_set for w in words) / max(1, len(words))
         x[_AT["known_all" if known >= 0.9 else "known_part" if known >= 0.5 else "known_none"]] = 1
-        verbatim = inside(clause) if hint else verbatims[i]
-        spoken, own_votes = _language(words if hint or verbatim else pooled, common)  # clauses that are not the passage's are heard together
-        best = max(own_votes.values(), default=0)
-        same = language is None or spoken is None or own_votes.get(language, 0) == best
-        x[_AT["language_unknown" if language is None or best < 2 else "language_same" if same else "language_other"]] = 1
+        verbatim = inside(clause, words) if hint else verbatims[i]
+        if hint or verbatim:
+            x[_AT["language_unknown" if hint else "language_same"]] = 1
+        else:  # clauses that are not the passage's are heard together
+            spoken, own_votes = pooled_language
+            best = max(own_votes.values(), default=0)
+            same = language is None or spoken is None or own_votes.get(language, 0) == best
+            x[_AT["language_unknown" if language is None or best < 2 else "language_same" if same else "language_other"]] = 1
         x[_AT["verbatim" if verbatim else "reworded"]] = 1
         x[_AT["reworded_other"]] = not verbatim and x[_AT["language_other"]] > 0
         if not verbatim and _REFUSAL.search(clause):
@@ -131,7 +147,9 @@ def describe(raw: str | None, cleaned: str | None, instruct: str | None, common:
         if hint and len(words) >= 4:
             grams = [" " + " ".join(words[j : j + 4]) + " " for j in range(len(words) - 3)]
             x[_AT["hint_copies"]] = sum(g in raw_text or g in raw_whole for g in grams) >= 0.6 * len(grams)
+        x[_AT["hint_own"]] = hint and not x[_AT["hint_copies"]]
         x[_AT["alone"]] = len(own) == 1 and not hint
+        x[_AT["reworded_unknown"]] = x[_AT["reworded"]] and x[_AT["known_none"]] and not x[_AT["cue"]]
         x[_AT["unknown_other"]] = x[_AT["known_none"]] and not x[_AT["cue"]]
         rows.append(x)
         sizes.append(len(words))
@@ -151,7 +169,7 @@ def weak_tags(x: np.ndarray) -> list[int]:
         elif on(r, "reworded_other"):
             out.append(TAGS.index("foreign"))
         elif on(r, "known_none"):
-            out.append(TAGS.index("refusal") if refused else -1)
+            out.append(TAGS.index("refusal") if refused else TAGS.index("foreign") if on(r, "reworded") else -1)
         elif on(r, "marked") and on(r, "marks_kept"):
             out.append(TAGS.index("echo"))
         elif on(r, "last_cut"):
