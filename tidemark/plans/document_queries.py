@@ -77,10 +77,9 @@ def format_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speak_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy batches of chunks, longest first."""
+    """Greedy batches of the chunks of a chapter, longest first; a chapter is bounded, a book may not be."""
     rows = read(spark, sf_dir, "chunks").where("text IS NOT NULL").select("book_id", "chapter_index", "chunk_index", F.length("text").alias("n_chars")).distinct()
-    unit = rows.withColumn("pos", F.col("chapter_index") * 100000 + F.col("chunk_index"))
-    return D.batches(unit, ["book_id"], "pos", F.col("n_chars"), max_chars=3000, max_items=10).select("book_id", "chapter_index", "chunk_index", "batch")
+    return D.batches(rows, ["book_id", "chapter_index"], "chunk_index", F.col("n_chars"), max_chars=3000, max_items=10).select("book_id", "chapter_index", "chunk_index", "batch")
 
 
 def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,5 +222,24 @@ SELECT run_id, max(done) AS done, CAST(sum(done) AS BIGINT) AS sum_done, max(n)
 n AS (SELECT *, len({_WORDS.replace("text", "raw_text")}) AS rn, len({_WORDS.replace("text", "cleaned_text")}) AS cn, len({_WORDS.replace("text", "h")}) AS hn FROM d)
 SELECT book_id, chapter_index, chunk_index, md5(CASE WHEN rn > 0 AND (cn = 0 OR cn > rn * 2.5) THEN raw_text ELSE cleaned_text END) AS answer,
   CASE WHEN NOT (h = '' OR length(h) > 400 OR hn > 60 OR regexp_matches(h, '\[[A-Za-z][^\]]*\]') OR coalesce(trim(raw_text) <> '' AND contains(trim(raw_text), h), false) OR coalesce(hn > 40 AND length(h) > 0.5 * length(trim(raw_text)), false)) THEN h END AS hint FROM n""",
+    "ref_without_references": r"""WITH l AS (SELECT book_id, chapter_index, i AS pos, trim(ls[i]) AS line FROM (SELECT book_id, chapter_index, string_split_regex(text, '\r\n|\r|\n') AS ls FROM chapters WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS t(i)),
+m AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^(?:#{1,6}\s+)?[*"''_]*(?:REFS)[*"''_]*\s*[:.]?\s*$') THEN 1 WHEN regexp_matches(line, '(?i)^(?:#{1,6}\s+)?(?:ENDS)\s*[:.]?\s*$') THEN 0 END AS k FROM l),
+s AS (SELECT *, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY book_id, chapter_index ORDER BY pos), 0) AS skip FROM m)
+SELECT book_id, chapter_index, count(*) AS lines FROM s WHERE skip = 0 GROUP BY ALL""".replace("REFS", T.REFERENCES).replace("ENDS", T.RESUMES),
+    "ref_running_headers": r"""WITH b AS (SELECT DISTINCT book_id, chapter_index, block_pos, text FROM blocks WHERE text IS NOT NULL), l AS (SELECT book_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS line FROM b),
+s AS (SELECT book_id, lower(trim(regexp_extract(line, '^\s*(.+?)\s+\|?\s*\d{1,4}\s*$', 1))) AS stem FROM l)
+SELECT book_id, stem, count(*) AS times FROM s WHERE stem <> '' AND NOT contains(stem, '.') AND length(stem) <= 80 AND len(list_filter(string_split_regex(stem, '[\s\x0b\x{85}\p{Z}]+'), lambda x: x <> '')) >= 3 GROUP BY ALL HAVING count(*) >= 2""",
+    "ref_speak_batches": """WITH RECURSIVE u AS (SELECT DISTINCT book_id, chapter_index, chunk_index, length(text) AS n FROM chunks WHERE text IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY n DESC, chunk_index) AS i FROM u),
+r AS (SELECT book_id, chapter_index, chunk_index, i, 0 AS batch, n AS total, 1 AS k FROM o WHERE i = 1
+  UNION ALL SELECT o.book_id, o.chapter_index, o.chunk_index, o.i, CASE WHEN r.total + o.n <= 3000 AND r.k < 10 THEN r.batch ELSE r.batch + 1 END,
+    CASE WHEN r.total + o.n <= 3000 AND r.k < 10 THEN r.total + o.n ELSE o.n END, CASE WHEN r.total + o.n <= 3000 AND r.k < 10 THEN r.k + 1 ELSE 1 END
+  FROM r JOIN o ON o.book_id = r.book_id AND o.chapter_index = r.chapter_index AND o.i = r.i + 1)
+SELECT book_id, chapter_index, chunk_index, batch FROM r""",
+    "ref_spoken": r"""WITH d AS (SELECT DISTINCT book_id, chapter_index, chunk_index, text FROM chunks),
+a AS (SELECT *, regexp_replace(text, '(?i)<\s*https?://[^>\s]+>|https?://[^\s<>\]]+|www\.[^\s<>\]]+', '', 'g') AS t FROM d),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\b(?:e\.i|i\.e)\.(\s|,|:|;|\)|$)', 'in other words\1', 'g'), '(?i)\be\.g\.(\s|,|:|;|\)|$)', 'for example\1', 'g'), '(?i)\betc\.(\s|,|:|;|\)|$)', 'et cetera\1', 'g'), '(?i)\bcf\.(\s|,|:|;|\)|$)', 'compare\1', 'g'), '§\s*([0-9]+(?:\.[0-9]+)*)', 'section \1', 'g') AS t2 FROM a),
+c AS (SELECT *, regexp_replace(regexp_replace(t2, '(^|[^A-Za-z])pp\.\s*(\d)', '\1pages \2', 'g'), '(^|[^A-Za-z])p\.\s*(\d)', '\1page \2', 'g') AS t3 FROM b)
+SELECT book_id, chapter_index, chunk_index, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t3, '#([A-Za-z][\w-]*)', '\1', 'g'), '\s&\s', ' and ', 'g'), '(\d+)\s*%', '\1 percent', 'g'), '[\s\x0b\x{85}\p{Z}]+', ' ', 'g')) AS text FROM c""",
     "ref_book_kinds": r"SELECT book_id, CASE WHEN regexp_matches(lower(source_path), '\.(html|htm|url)$') THEN 'page' ELSE 'ebook' END AS kind FROM books",
 }
