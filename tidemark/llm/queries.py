@@ -89,7 +89,15 @@ def p10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p2_wrappers, p3_found, p3_pieces, p4_found, p4_statistics, p6_found, p6_pairs, p7_found, p7_clean, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_share, p10_lines)}
 
+_SHARES = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, list_aggregate(ws[i : i + 4], 'string_agg', ' ') AS g FROM w, unnest(range(1, len(ws) - 3)) AS t(i)),
+a AS (SELECT doc_id, i FROM p QUALIFY i > min(i) OVER (PARTITION BY doc_id, g)),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM a, unnest(range(0, 5)) AS t(k) GROUP BY doc_id)
+"""
+
 ORACLE = {
+    "p10_found": _SHARES + "SELECT doc_id FROM w JOIN c USING (doc_id) WHERE r >= 0.3 * len(ws)",
+    "p10_share": _SHARES + "SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(r, 0) AS repeated_words, coalesce(r, 0) / greatest(len(ws), 1) AS repeated_share FROM w LEFT JOIN c USING (doc_id)",
     "p3_found": r"""WITH limits AS (SELECT item_kind, source_kind, max_chars FROM size_limits),
 kinds AS (SELECT book_id, min(coalesce(lower(trim(source_kind)), 'ebook')) AS source_kind FROM books GROUP BY book_id),
 items AS (SELECT 'chapter' AS item_kind, book_id, chapter_index, -1 AS chunk_index, text, coalesce(kinds.source_kind, 'ebook') AS source_kind FROM chapters LEFT JOIN kinds USING (book_id)
