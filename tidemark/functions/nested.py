@@ -58,3 +58,25 @@ def step_seconds(steps: Column) -> Column:
     inner = lambda s: F.aggregate(F.coalesce(s.steps, F.array().cast("array<struct<seconds:double>>")), F.lit(0.0), lambda a, x: a + own(x))
     total = F.aggregate(steps, F.lit(0.0), lambda a, s: a + F.when(s.iterations.isNotNull(), s.iterations * inner(s)).otherwise(own(s)))
     return F.greatest(total.cast("int"), F.lit(60))
+
+
+def with_rest(items: Column, n: int) -> Column:
+    """The first n of an array and how many more there are."""
+    return F.struct(F.slice(items, 1, n).alias("first"), F.greatest(F.size(items) - n, F.lit(0)).alias("more"))
+
+
+def numeric_part(text: Column) -> Column:
+    """The digits of a text as a number to sort by, 0 without digits."""
+    return F.coalesce(F.nullif(F.regexp_replace(text, r"\D", ""), F.lit("")).try_cast("bigint"), F.lit(0))
+
+
+def repeated_hint(hint: Column, size: Column) -> Column:
+    """A hint for each of a batch: one is repeated, a list of another length is an error."""
+    n = F.size(hint)
+    return F.when(n == size, hint).when(n == 1, F.array_repeat(F.element_at(hint, 1), size)).otherwise(F.raise_error(F.lit("hints do not fit the batch")))
+
+
+def decisions(answer: Column) -> Column:
+    """Array of (index, keep) of a model's answer; entries without index drop out, keep is true unless told otherwise."""
+    found = json_in_text(answer, "array<struct<index:int,keep:boolean>>")
+    return F.transform(F.filter(found, lambda d: d.index.isNotNull()), lambda d: F.struct(d.index.alias("index"), F.coalesce(d.keep, F.lit(True)).alias("keep")))

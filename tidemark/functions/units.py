@@ -105,3 +105,18 @@ def slug(title: Column) -> Column:
     plain = F.regexp_replace(F.lower(F.trim(title)), r"(?U)[^\w\s-]", "")
     joined = F.substring(F.regexp_replace(plain, r"(?U)[\s_-]+", "_"), 1, 80)
     return F.coalesce(F.nullif(F.regexp_replace(joined, "^_+|_+$", ""), F.lit("")), F.lit("untitled"))
+
+
+def audio_ms(frames: Column, rate: Column) -> Column:
+    """Milliseconds of audio, half-even."""
+    return F.bround(frames / rate * 1000, 0).cast("long")
+
+
+def template_minutes(seconds: Column) -> Column:
+    """Whole minutes, at least one."""
+    return F.greatest(F.floor(seconds / 60).cast("int"), F.lit(1))
+
+
+def percent_text(done: Column, of: Column) -> Column:
+    """Progress as text, 0 % of nothing."""
+    return F.format_string("%d/%d (%d%%)", done, of, F.coalesce(F.floor(100 * done / F.nullif(of, F.lit(0))), F.lit(0)))

@@ -66,6 +66,34 @@ def loads_at_week_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(A.load_on(weeks, loads))
 
 
+def weekly_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: the blocks without distance."""
+    rows = _rows(spark, sf_dir)
+    return _text(A.weekly_stats(rows, A.zone_rows(rows), AS_OF, 4)).select("user_id", "block_end", "total_zone_min", *[f"zone_{z}_min" for z in range(1, 6)])
+
+
+def month_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the months around a day that have a line shipped in the same month."""
+    months = dates.months_around(F.lit("1996-01-15").cast("date"), 12)
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.trunc("o_orderdate", "MM").alias("month"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.trunc("l_shipdate", "MM").alias("month"))
+    near = orders.where(F.array_contains(months, F.col("month")))
+    return _text(near.join(lines, ["o_orderkey", "month"], "left_semi"))
+
+
+def first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a table in a total order."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return rows.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20)
+
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with customer and nation, missing ones kept."""
+    orders, customers, nations = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = orders.join(customers, orders.o_custkey == customers.c_custkey, "left").join(F.broadcast(nations), customers.c_nationkey == nations.n_nationkey, "left")  # 25 nations
+    return rows.groupBy("n_name", "o_orderstatus").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("title"), F.col("ts").cast("date").alias("day"))
 
@@ -113,7 +141,7 @@ def event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_type", F.explode("keys").alias("key")).groupBy("event_type", "key").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f"ref_{f.__name__}": f for f in (activity_rows, zone_minutes, weekly_stats, chronic_minutes, peak_week, recent_activities, loads_at_week_end, distinct_events, next_events, latest_events, duration_buckets, feelings, event_values)}
+QUERIES = {f"ref_{f.__name__}": f for f in (activity_rows, zone_minutes, weekly_stats, chronic_minutes, peak_week, recent_activities, loads_at_week_end, distinct_events, next_events, latest_events, duration_buckets, feelings, event_values, weekly_zones, month_scan, first_page, enriched)}
 
 _BASE = """WITH v AS (SELECT record_id, arg_max(struct_pack(u := user_id, s := start_time_local, z := total_zone_min, d := distance_km, a := acute_load, c := chronic_load, t := type_key), received_at) AS r FROM actuals GROUP BY record_id),
 a AS (SELECT r.u AS user_id, record_id AS activity_id, CASE WHEN regexp_matches(r.s, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(substr(r.s, 1, 10) AS DATE) END AS day,
@@ -175,5 +203,10 @@ SELECT w.user_id, w.block_end, acute, chronic, round_even(acute / nullif(chronic
 SELECT CASE WHEN m >= 0 AND m <= 44.99 THEN 'short' WHEN m >= 45 AND m <= 74.99 THEN 'medium' WHEN m >= 75 AND m <= 119.99 THEN 'long' WHEN m >= 120 THEN 'very_long' END AS bucket, count(*) AS n FROM d GROUP BY ALL""",
     "ref_feelings": """SELECT p_partkey, CASE WHEN p_size * 2 <= 12.5 THEN 'Very weak' WHEN p_size * 2 <= 37.5 THEN 'Weak' WHEN p_size * 2 <= 62.5 THEN 'Normal' WHEN p_size * 2 <= 87.5 THEN 'Strong' ELSE 'Very strong' END AS feeling,
   CASE WHEN p_size >= 10 THEN round_even(p_size / 10, 1) WHEN p_size > 0 THEN CAST(p_size AS DOUBLE) END AS effort, CAST(round_even((70 + p_size) * 0.75 + 50, 0) AS INT) AS zone_3_min FROM part""",
+    "ref_weekly_zones": _weeks(4) + "SELECT user_id, block_end, total_zone_min, zone_1_min, zone_2_min, zone_3_min, zone_4_min, zone_5_min FROM w",
+    "ref_month_scan": """WITH o AS (SELECT o_orderkey, date_trunc('month', o_orderdate) AS month FROM orders WHERE o_orderdate >= DATE '1995-11-01' AND o_orderdate < DATE '1997-01-01')
+SELECT o_orderkey, strftime(month, '%Y-%m-%d') AS month FROM o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND date_trunc('month', l_shipdate) = month)""",
+    "ref_first_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40",
+    "ref_enriched": "SELECT n_name, o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
     "ref_event_values": "SELECT event_type, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL",
 }
