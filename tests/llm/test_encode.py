@@ -18,8 +18,8 @@ def test_every_text(spark):
     assert encode(df.limit(0)).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab'sté 1\n\t,.!日\u00a0", max_size=400), st.integers(3, 40), st.integers(1, 20))
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(st.text(alphabet="ab'sté 1\n\t,.!日\u00a0\x1c", max_size=400), st.text(alphabet="ab  \n\r1.", max_size=400)), st.integers(3, 40), st.integers(1, 20))
 def test_pieces_encode_as_the_whole(text, piece, overlap):
     parts = list(cut_windows(text, piece, overlap))
     assert "".join(parts) == text

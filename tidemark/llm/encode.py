@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Code points of a nominal piece, and of the overlap on either side of a seam.
 PIECE, OVERLAP = 1 << 16, 1 << 10
-_HARD = re.compile(r"\S(?=\s)")
+# White space as the tokenizer knows it; separators of files that only Python counts as such are on neither side.
+_SPACE = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_HARD = re.compile(rf"[^{_SPACE}\x1c-\x1f](?=[{_SPACE}])")
 
 
 @lru_cache(maxsize=2)
@@ -48,18 +50,22 @@ def _pattern():
 
 
 def seam_cut(text: str, nominal: int, overlap: int = OVERLAP) -> int | None:
-    """The first pre-token boundary at or behind ``nominal`` that holds wherever tokenising began.
+    """The first pre-token boundary at or behind ``nominal`` that holds wherever tokenising began,
+    and wherever it ends: white space follows another character there, so neither side's
+    tokens depend on the other's.
 
-    Tokenising starts at the first place inside the overlap where white space follows
-    another character; None when no such place is left in the text.
+    Tokenising starts at the first such place inside the overlap; None when none is left.
     """
     hard = _HARD.search(text, max(0, nominal - overlap))
     if hard is None:
         return None
     at = hard.end()
-    while at < nominal:
-        at = _pattern().match(text, at).end()
-    return at if at < len(text) else None
+    while at < nominal or not _HARD.match(text, at - 1):
+        token = _pattern().match(text, at)
+        if token is None or token.end() >= len(text):
+            return None
+        at = token.end()
+    return at
 
 
 def cut_windows(text: str, piece: int = PIECE, overlap: int = OVERLAP) -> Iterator[str]:
