@@ -50,11 +50,16 @@ FEATURES = ("bias", "known_all", "known_part", "known_none", "language_same", "l
 _AT = {f: i for i, f in enumerate(FEATURES)}
 
 
+def _without_ends(m: re.Match) -> str:
+    return re.sub(r"[.!?…]", "_", m[0])
+
+
 def clauses(text: str) -> list[str]:
     """The clauses of a text: sentences with their end marks; pieces without a word go with the one before."""
     out: list[str] = []
-    for m in _CLAUSE.finditer(text):
-        piece = m[0].strip()
+    whole = _MARK.sub(_without_ends, text) if _MAY_MARK.search(text) else text  # a mark ends no sentence
+    for m in _CLAUSE.finditer(whole):
+        piece = text[m.start() : m.end()].strip()
         if not piece:
             continue
         if out and not _WORD.search(piece):
