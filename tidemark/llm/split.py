@@ -40,8 +40,9 @@ def _atoms(text: str, room: int, least: int = SENTENCE) -> list[tuple[int, int,
         inner.append((s, end, strength))
         for a, b, k in inner:
             while b - a > room:
-                out.append((a, a + room, FORCED))
-                a += room
+                cut = a + room  # within a run without white space, or within white space
+                out.append((a, cut, SPACE if text[cut - 1].isspace() or text[cut].isspace() else FORCED))
+                a = cut
             out.append((a, b, k))
 
     for m in _ATOM.finditer(text):
