@@ -4,7 +4,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.incremental import CommitLog, canonical_path, due_sections, successful_runs
+from tidemark.operators.incremental import CommitLog, canonical_path, due_sections, successful_runs, upper_limit
 
 T0 = dt.datetime(2025, 1, 1)
 at = lambda n: T0 + dt.timedelta(hours=n)
@@ -45,6 +45,7 @@ def test_due(spark):
     f = frames(spark, sections, state, runs)
     assert [(r.run_id, r.book_id) for r in successful_runs(f[2], f[3]).collect()] == [("r1", 1)]
     assert keys(due_sections(*f)) == {(1, 0, 1), (1, 0, 2), (1, 0, 3), (1, 0, 4), (None, None, None)}
+    assert upper_limit(f[0]) == at(9) and upper_limit(f[0].limit(0)) is None
     assert keys(due_sections(*f, upto=at(1))) == {(1, 0, 2), (1, 0, 3), (None, None, None)}
 
 

@@ -52,12 +52,18 @@ def successful_runs(book_runs: DataFrame, books: DataFrame) -> DataFrame:
     return ok.join(small(named), "path").groupBy("run_id", "book_id").agg(F.max("started_at").alias("started_at"))
 
 
+def upper_limit(sections: DataFrame) -> object | None:
+    """The greatest received_at there is when a run starts; None for an empty feed."""
+    return sections.agg(F.max("received_at")).first()[0]
+
+
 def due_sections(sections: DataFrame, section_state: DataFrame, book_runs: DataFrame, books: DataFrame, upto: object | None = None) -> DataFrame:
     """(book_id, chapter_index, section_index, text_hash, recorded_hash) of the sections due now.
 
     Commit sequence: started_at of successful runs; the watermark of a section is the last
     such run that wrote it.  ``upto`` bounds received_at, so that rows that arrive while a
-    run works wait for the next; None takes the files as they are listed at planning.
+    run works wait for the next (``upper_limit`` gives it; rows without received_at are not
+    bounded); None takes the files as they are listed at planning.
     Newest version: greatest updated_at, then received_at, then hash.  The hash is always
     that of the text; text_hash of the feed is not trusted.  A NULL text has no hash and is
     due whenever it is the newest version.  NULL keys form groups of their own.
@@ -65,7 +71,7 @@ def due_sections(sections: DataFrame, section_state: DataFrame, book_runs: DataF
     Texts never leave the scan: each is hashed before the shuffle, and feed and state meet
     in one aggregation over the section key instead of two aggregations and a join.
     """
-    feed = sections if upto is None else sections.where(F.col("received_at") <= F.lit(upto))
+    feed = sections if upto is None else sections.where(F.col("received_at").isNull() | (F.col("received_at") <= F.lit(upto)))
     key = ["book_id", "chapter_index", "section_index"]
     never = F.lit(None)
     versions = feed.select(

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.incremental import due_sections, successful_runs
+from tidemark.operators.incremental import due_sections, successful_runs, upper_limit
 from tidemark.operators.trailing import resting_days, trailing_totals
 from tidemark.tables import read
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = [read(spark, sf_dir, t) for t in ("sections", "section_state", "book_runs", "books")]
-    return due_sections(*tables).select("book_id", "chapter_index", "section_index")
+    return due_sections(*tables, upto=upper_limit(tables[0])).select("book_id", "chapter_index", "section_index")
 
 
 def p1_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = [read(spark, sf_dir, t) for t in ("sections", "section_state", "book_runs", "books")]
-    return due_sections(*tables)
+    return due_sections(*tables, upto=upper_limit(tables[0]))
 
 
 def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
