@@ -46,3 +46,12 @@ def test_queries(spark):
     roles = {(r.content, r.role) for r in induce_wrappers(blocks, chapters).collect() if r.node == "#text"}
     assert ("nav", "template") in roles and (None, "slot") in roles
     assert markup_found(blocks.limit(0), chapters.limit(0)).count() == 0
+
+
+def test_wrappers_across_chapters(spark):
+    schema = "book_id bigint, chapter_index int, block_pos int, text string"
+    rows = [(b, c, 0, f"<p>nav</p><b>{c}</b>") for b in (1, None) for c in (0, 7, 8, 40)] + [(2, 3, 0, "<p>alone</p>"), (3, 0, 0, "<i>a</i>"), (4, 9, 0, "<i>a</i>")]
+    chapters = spark.createDataFrame([], "book_id bigint, chapter_index int, text string")
+    got = {(r.book_id, r.node, r.content): (r.aligned, r.role) for r in induce_wrappers(spark.createDataFrame(rows, schema), chapters).collect()}
+    assert {k[0] for k in got} == {1, None}
+    assert all(got[b, "#text", "nav"] == (3, "template") and got[b, "#text", None] == (3, "slot") for b in (1, None))

@@ -398,15 +398,35 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(book, pa.int64()), pa.array(label, pa.string()), pa.array(constant, pa.string())], ["book_id", "node", "content"])
 
 
+#: Chapters of a book whose texts are put in order in one task.
+_GROUP = 8
+
+
+def _neighbours(marked: DataFrame) -> DataFrame:
+    """(book_id, text, next_text): every text of a book with the one behind it, in order of chapter, block and text.
+
+    Texts are put in order by groups of chapters, so that a hot book is many tasks; the last
+    text of a group then meets the first one of the next group of its book that holds any.
+    Only the numbers of the groups are put in order by whole books.
+    """
+    group = F.floor(F.col("chapter_index") / _GROUP)
+    order = Window.partitionBy("book_id", "part").orderBy("chapter_index", "block_pos", "text")
+    rows = marked.withColumn("part", group).select("book_id", "part", "text", F.lead("text").over(order).alias("next_text"), F.row_number().over(order).alias("n"))
+    follows = F.lead("part").over(Window.partitionBy("book_id").orderBy("part"))
+    parts = marked.select("book_id", group.alias("part")).distinct().select("book_id", "part", follows.alias("next_part")).where("next_part IS NOT NULL")
+    last, first = rows.where("next_text IS NULL").select("book_id", "part", "text"), rows.where("n = 1").select("book_id", "part", F.col("text").alias("next_text"))
+    at = last.join(parts, last.book_id.eqNullSafe(parts.book_id) & last.part.eqNullSafe(parts.part)).select(last.book_id, "next_part", "text")
+    edges = at.join(first, at.book_id.eqNullSafe(first.book_id) & (at.next_part == first.part)).select(at.book_id, "text", "next_text")
+    return rows.where("next_text IS NOT NULL").select("book_id", "text", "next_text").unionByName(edges)
+
+
 def induce_wrappers(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
     """(book_id, node, content, aligned, role): the nodes that simple tree matching pairs in
     neighbouring HTML texts of a book; role is ``template`` where the content stays the same
-    in the pair, ``slot`` (content NULL) where it varies.  Every text meets one neighbour among
-    eight chapters of its book, so a book of any size is as many small alignments as it has
-    texts and no task holds more of it than those chapters."""
+    in the pair, ``slot`` (content NULL) where it varies.  Every text meets its neighbour in
+    the whole book, whatever chapters lie between them, so a book of any size is as many small
+    alignments as it has texts."""
     marked = texts(blocks, chapters).where(F.col("text").rlike("<[A-Za-z/!]"))
-    order = Window.partitionBy("book_id", F.floor(F.col("chapter_index") / 8)).orderBy("chapter_index", "block_pos", "text")
-    pairs = marked.distinct().select("book_id", "text", F.lead("text").over(order).alias("next_text")).where("next_text IS NOT NULL")
-    nodes = pairs.mapInArrow(_aligned, "book_id bigint, node string, content string")
+    nodes = _neighbours(marked.distinct()).mapInArrow(_aligned, "book_id bigint, node string, content string")
     role = F.when(F.col("content").isNull(), "slot").otherwise("template").alias("role")
     return nodes.groupBy("book_id", "node", "content").agg(F.count("*").alias("aligned")).select("*", role)
