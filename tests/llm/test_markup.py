@@ -1,6 +1,6 @@
 import pytest
 
-from tidemark.llm.markup import Reading, clean_markup, dom, induce_wrappers, languages, markup_found, simple_tree_matching
+from tidemark.llm.markup import Reading, clean_markup, dom, induce_wrappers, languages, markup_found, simple_tree_matching, without_chrome
 
 PLAIN = ["The file lives in C:\\new\\chapter next to old_chapter_copy.", "For once a < b held & R&D went from $72 to $89, item #94.", "She worked out 3 * 24 * 93 [sic].", "* one\n* two\n1. three\n• four", "adapter | 3:17 | -\nvoice | 2 | 3", "", None, "~?=. ~~ *, !*; ^ '", "_" * 80]
 
@@ -55,3 +55,18 @@ def test_wrappers_across_chapters(spark):
     got = {(r.book_id, r.node, r.content): (r.aligned, r.role) for r in induce_wrappers(spark.createDataFrame(rows, schema), chapters).collect()}
     assert {k[0] for k in got} == {1, None}
     assert all(got[b, "#text", "nav"] == (3, "template") and got[b, "#text", None] == (3, "slot") for b in (1, None))
+
+
+def test_chrome_is_dropped(spark):
+    schema = "book_id bigint, chapter_index int, block_pos int, text string"
+    body = lambda i: f"<ul><li><a href='/'>Home</a></li></ul><p>Text <b>Home</b> number {i}.</p>"
+    rows = [(b, c, 0, body(c)) for b in (1, None) for c in range(4)] + [(1, 9, 0, "Home"), (1, 9, 1, "<p>once</p>"), (1, 9, 2, "<p>once</p><p>more</p>"), (1, 9, 3, "<p>Text</p>")]
+    rows += [(2, 0, i, "<p>copied text</p>") for i in range(3)] + [(2, 0, 9, "<p>other</p>")]
+    blocks, chapters = spark.createDataFrame(rows, schema), spark.createDataFrame([], "book_id bigint, chapter_index int, text string")
+    clean = {(r.book_id, r.chapter_index, r.block_pos): r for r in clean_markup(blocks, chapters).collect()}
+    assert len(clean) == len(rows)
+    assert all(clean[b, c, 0].clean_text == f"Text Home number {c}." and clean[b, c, 0].markup == ["html"] for b in (1, None) for c in range(4))
+    assert clean[1, 9, 0].clean_text == "Home" and clean[1, 9, 1].clean_text == "once" and clean[2, 0, 1].clean_text == "copied text"
+    roles = {(r.content, r.role) for r in induce_wrappers(blocks, chapters).where("book_id = 1").collect()}
+    assert ("Home", "template") in roles and ("once", "template") not in roles
+    assert without_chrome("<p>a</p><p>b <i>a</i></p>", {"a"}) == "<p></p><p>b <i>a</i></p>"

@@ -8,13 +8,14 @@ formulas told apart (``clean_markup``).
 
 ``induce_wrappers`` is wrapper induction: the DOM trees of neighbouring texts of a host
 (here a book) are aligned by simple tree matching; a node that stays the same in enough
-texts of the host becomes template, a varying one is a slot.  The wrapper tells what to drop
-as page chrome; the language of one text's residue does not follow from it, as a text may
+texts of the host becomes template, a varying one is a slot.  The wrapper tells what
+``clean_markup`` drops as page chrome; the language of one text's residue does not follow from it, as a text may
 hold the only mark of its book, so the languages come from the nodes themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Callable, Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.tables import small
+from tidemark.tables import shared_dir, small
 
 LANGUAGES = ("html", "markdown", "wiki", "latex")
 #: A text without any of these characters holds no markup; tested before Python is reached.
@@ -86,6 +87,8 @@ _OPEN, _CLOSE = "\ue000", "\ue001"  # private use: they bracket the number of a
 _HOLE = re.compile(_OPEN + r"(\d+)" + _CLOSE)
 
 
+#: What parts a text into blocks; inside them other tags mark words of a sentence.
+_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|d[dlt]|div|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|t(?:body|d|foot|h|head|r)|ul)\b|<!DOCTYPE", re.I)
 _INNER = re.compile(r"[<&\\\[{*_`~$]|''")
 
 
@@ -311,15 +314,36 @@ def markup_found(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
     return _suspects(blocks, chapters).mapInArrow(_found, "book_id bigint, chapter_index int, block_pos int, markup string").distinct()
 
 
+def without_chrome(text: str, chrome: set[str]) -> str:
+    """The text without what stands between two block tags and is template as a whole; a template node inside a sentence stays."""
+    out, at, run, run_at = [], 0, [], 0
+
+    def close(end: int) -> None:
+        words = [w for w in (" ".join(r.split()) for r in run) if w]
+        out.append("".join(m[0] for m in _TAG.finditer(text, run_at, end)) if words and all(w in chrome for w in words) else text[run_at:end])
+
+    for m in _TAG.finditer(text):
+        run.append(text[at : m.start()])
+        at = m.end()
+        if _BLOCK.match(m[0]):
+            close(m.start())
+            out.append(m[0])
+            run, run_at = [], at
+    run.append(text[at:])
+    close(len(text))
+    return "".join(out)
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
     for b in batches:
-        read = [Reading(t) for t in b.column("text").to_pylist()]
-        parts = [r.parts() for r in read]
+        chrome = b.column("chrome").to_pylist()
+        read = [(Reading(t), without_chrome(t, set(c)) if c else t) for t, c in zip(b.column("text").to_pylist(), chrome, strict=True)]
+        parts = [(Reading(kept) if c else r).parts() for (r, kept), c in zip(read, chrome, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 *[b.column(k) for k in _KEYS],
-                pa.array([[x for x in LANGUAGES if x in r.languages] for r in read], pa.list_(pa.string())),
+                pa.array([[x for x in LANGUAGES if x in r.languages] for r, _ in read], pa.list_(pa.string())),
                 pa.array(["\n\n".join(t for _, t in p) for p in parts], pa.string()),
                 pa.array([[{"kind": k, "text": t} for k, t in p] for p in parts], part),
             ],
@@ -331,10 +355,15 @@ def clean_markup(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
     """(book_id, chapter_index, block_pos, markup, clean_text, parts) of every text, marked or not.
 
     ``parts`` is an array of (kind, text), kind one of heading, paragraph, list_item, code,
-    table, formula.  A text of nothing but marks has no parts and an empty clean_text.
+    table, formula.  A text of nothing but marks has no parts and an empty clean_text.  What
+    the wrapper of a book holds as template is dropped from its HTML texts as page chrome;
+    only they meet the wrappers, all others are cleaned where they are scanned.
     """
     ddl = "book_id bigint, chapter_index int, block_pos int, markup array<string>, clean_text string, parts array<struct<kind:string,text:string>>"
-    return texts(blocks, chapters).mapInArrow(_clean, ddl)
+    chrome = induce_wrappers(blocks, chapters).where("role = 'template' AND node = '#text'").groupBy("book_id").agg(F.collect_set("content").alias("chrome"))
+    rows, none = texts(blocks, chapters), F.lit(None).cast("array<string>").alias("chrome")
+    marked = _join(rows.where(F.col("text").rlike(_MARKED)), chrome, "left", "book_id").select(*_KEYS, "text", "chrome")
+    return rows.where(~F.col("text").rlike(_MARKED)).select(*_KEYS, "text", none).unionByName(marked).mapInArrow(_clean, ddl)
 
 
 # --- wrapper induction -----------------------------------------------------------------
@@ -385,21 +414,49 @@ def simple_tree_matching(a: tuple | list, b: tuple | list) -> tuple[int, list[tu
     return best[m][n][0] + 1, [(a, b), *pairs]
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _nodes(tree: tuple | list) -> Iterator[tuple]:
+    for child in tree[2]:
+        yield child
+        yield from _nodes(child)
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes as (book, label, content if equal, its hash in either text), and the nodes of
+    either text as (book, label, -, hash, -, hash of the text)."""
+    names = ["book_id", "node", "content", "a", "b", "held_by"]
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
     for b in batches:
         rows: list[tuple] = []
         for book, text, other in zip(*(b.column(c).to_pylist() for c in ("book_id", "text", "next_text")), strict=True):
             tags = len(_TAG.findall(text)) * len(_TAG.findall(other))
             if not tags:
                 continue
-            _, pairs = simple_tree_matching(dom(text), dom(other))
-            rows += [(book, x[0], x[1] if x[1] == y[1] else None) for x, y in pairs if x[0] != "#root"]
-        book, label, constant = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(book, pa.int64()), pa.array(label, pa.string()), pa.array(constant, pa.string())], ["book_id", "node", "content"])
+            one, two = dom(text), dom(other)
+            _, pairs = simple_tree_matching(one, two)
+            rows += [(book, x[0], x[1] if x[1] == y[1] else None, _hash(x[1]), _hash(y[1]), None) for x, y in pairs if x[0] != "#root"]
+            for t, tree in ((text, one), (other, two)):
+                key = _hash(t)
+                rows += [(book, label, None, _hash(content), None, key) for label, content in {(n[0], n[1]) for n in _nodes(tree)}]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
 #: Chapters of a book whose texts are put in order in one task.
 _GROUP = 8
+#: A node is template if so large a share of the book's aligned texts, and two different ones at least, hold its content.
+TEMPLATE_SHARE = 0.5
+_MARKED = "<[A-Za-z/!]"
+
+
+def _join(left: DataFrame, right: DataFrame, how: str, *keys: str) -> DataFrame:
+    """Join on keys that may be NULL; the keys stay once."""
+    other = right.select(*[F.col(c).alias(f"_{c}" if c in keys else c) for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_{k}" for k in keys])
 
 
 def _neighbours(marked: DataFrame) -> DataFrame:
@@ -422,11 +479,26 @@ def _neighbours(marked: DataFrame) -> DataFrame:
 
 def induce_wrappers(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
     """(book_id, node, content, aligned, role): the nodes that simple tree matching pairs in
-    neighbouring HTML texts of a book; role is ``template`` where the content stays the same
-    in the pair, ``slot`` (content NULL) where it varies.  Every text meets its neighbour in
-    the whole book, whatever chapters lie between them, so a book of any size is as many small
-    alignments as it has texts."""
-    marked = texts(blocks, chapters).where(F.col("text").rlike("<[A-Za-z/!]"))
-    nodes = _neighbours(marked.distinct()).mapInArrow(_aligned, "book_id bigint, node string, content string")
+    neighbouring HTML texts of a book; role is ``template`` for a content that is the same in
+    a pair and that TEMPLATE_SHARE of the book's aligned texts hold, ``slot`` (content NULL)
+    for all other nodes; ``aligned`` counts the pairs.  A node is one or the other: a template
+    met by something else is no slot.  Every text meets its neighbour in the whole book,
+    whatever chapters lie between them, so a book of any size is as many small alignments as
+    it has texts."""
+    shared_dir(blocks.sparkSession)
+    marked = texts(blocks, chapters).where(F.col("text").rlike(_MARKED))
+    ddl = "book_id bigint, node string, content string, a bigint, b bigint, held_by bigint"
+    nodes = _neighbours(marked.distinct()).mapInArrow(_aligned, ddl).checkpoint()  # read five times below, texts are left behind
+    pairs, held = nodes.where("held_by IS NULL"), nodes.where("held_by IS NOT NULL")
+    constant = pairs.where("content IS NOT NULL").groupBy("book_id", "node", "a").agg(F.first("content").alias("same"))
+    total = held.groupBy("book_id").agg(F.countDistinct("held_by").alias("of"))
+    times = held.groupBy("book_id", "node", "a").agg(F.countDistinct("held_by").alias("n"))
+    enough = _join(times, total, "inner", "book_id").where((F.col("n") >= 2) & (F.col("n") >= TEMPLATE_SHARE * F.col("of")))
+    template = _join(constant, enough.select("book_id", "node", "a"), "inner", "book_id", "node", "a")
+    left = template.withColumnRenamed("same", "same_a")
+    right = template.select("book_id", "node", F.col("a").alias("b"), F.col("same").alias("same_b"))
+    named = _join(_join(pairs.select("book_id", "node", "a", "b"), left, "left", "book_id", "node", "a"), right, "left", "book_id", "node", "b")
+    found = F.array_distinct(F.array_compact(F.array("same_a", "same_b")))
+    content = F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None).cast("string")))).alias("content")
     role = F.when(F.col("content").isNull(), "slot").otherwise("template").alias("role")
-    return nodes.groupBy("book_id", "node", "content").agg(F.count("*").alias("aligned")).select("*", role)
+    return named.select("book_id", "node", content).groupBy("book_id", "node", "content").agg(F.count("*").alias("aligned")).select("*", role)
