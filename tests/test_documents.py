@@ -70,3 +70,11 @@ def test_headers_merge_decisions(spark):
     chapters = spark.createDataFrame([(1, i) for i in range(4)], "book_id int, chapter_index int")
     keep = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, True)], "book_id int, chapter_index int, keep boolean")
     assert [r.chapter_index for r in D.apply_decisions(chapters, keep, 1).collect()] == [1]
+
+
+def test_markdown_of_short_sections(spark):
+    rows = [(1, "# One\n" + "w " * 20 + "\n## Two\n" + "v " * 20), (2, "# One\nshort"), (3, "# One\n" + "w " * 30 + "\n# Two\nshort"), (None, "u " * 20 + "\n# One\n" + "w " * 20)]
+    df = D.markdown_sections(D.text_lines(spark.createDataFrame(rows, "id int, text string"), ["id"]), ["id"])
+    got = {r.id: (r.section, r.title, r.text.split()) for r in df.collect()}
+    assert set(got) == {1, 3, None} and got[3] == (1, "One", ["w"] * 30)
+    assert got[1] == (0, None, ["One", *["w"] * 20, "Two", *["v"] * 20]) and got[None][2] == ["u"] * 20 + ["One"] + ["w"] * 20

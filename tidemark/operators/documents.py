@@ -78,15 +78,22 @@ def text_lines(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame
 
 def markdown_sections(lines: DataFrame, key: list[str], least_words: int = 30) -> DataFrame:
     """Sections of Markdown lines: (key, section, title, text); headings in code fences are text, short
-    sections drop out; what precedes the first heading has title NULL."""
+    sections drop out; what precedes the first heading has title NULL, and so has the whole text, section 0, of a
+    document all of whose sections are short."""
     w = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     fence = F.trim("line").startswith("```").cast("int")
     fenced = lines.withColumn("open", F.sum(fence).over(w) % 2)
     heading = F.when((F.col("open") == 0) & (fence == 0), F.nullif(F.regexp_extract("line", r"^#{1,6}\s+(.+?)(?:\s+#+)?\s*$", 1), F.lit("")))
     marked = fenced.withColumn("heading", heading).withColumn("section", F.count("heading").over(w))
-    groups = marked.groupBy(*key, "section").agg(F.max("heading").alias("title"), F.array_sort(F.collect_list(F.when(F.col("heading").isNull(), F.struct("pos", "line")))).alias("l"))
-    body = T.markdown_to_text(F.array_join(F.transform("l", lambda x: x.line), "\n"))
-    return groups.select(*key, "section", "title", body.alias("text")).where(T.word_count(F.col("text")) >= least_words)
+    groups = marked.groupBy(*key, "section").agg(F.max("heading").alias("title"), F.array_sort(F.collect_list(F.struct("pos", "line", F.col("heading").isNull().alias("body")))).alias("l"))
+    plain = lambda rows: T.markdown_to_text(F.array_join(F.transform(rows, lambda x: x.line), "\n"))
+    each = groups.select(*key, "section", "title", plain(F.filter("l", lambda x: x.body)).alias("text"), "l")
+    long = F.when(T.word_count(F.col("text")) >= least_words, F.struct("section", "title", "text"))
+    lines_of = F.when(F.max(long.isNotNull()).over(Window.partitionBy(*key)), F.array().cast("array<struct<pos:int,line:string,body:boolean>>")).otherwise(F.col("l"))
+    docs = each.select(*key, long.alias("s"), lines_of.alias("l")).groupBy(*key).agg(F.array_sort(F.collect_list("s")).alias("s"), F.array_sort(F.flatten(F.collect_list("l"))).alias("l"))
+    whole = F.struct(F.lit(0).cast("long").alias("section"), F.lit(None).cast("string").alias("title"), plain("l").alias("text"))
+    found = docs.select(*key, F.explode(F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(whole))).alias("s"))
+    return found.select(*key, "s.section", "s.title", "s.text").where(T.word_count(F.col("text")) >= least_words)
 
 
 def running_headers(lines: DataFrame, doc: str, least: int = 2) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streams: the run ledger as it grows, and daily totals of activities with a watermark."""
+"""Streams: the run ledger as it grows, and its lines by day and status with a watermark."""
 
 from __future__ import annotations
 
