@@ -3,7 +3,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.repetition import count_repeated, depleted, line_frequency, repeated_words, repetitive
+from tidemark.llm.repetition import count_repeated, depleted, drop_frequent_lines, line_frequency, repeated_words, repetitive
 
 
 def brute(text, window=5):
@@ -39,3 +39,14 @@ def test_lines(spark):
     assert ("s", 6) in top and ("", 1) in top
     out = {r.doc_id: r for r in depleted(docs).collect()}
     assert out[9].rejected and out[9].kept_chars == 0 and not out[5].rejected and not out[11].rejected and 10 not in out
+
+
+def test_frequent_lines_are_dropped(spark):
+    rows = [(i, f"Footer, {i}!\r\n\r\n12\nown line {'x' * i}", "S") for i in range(1, 6)] + [(9, "footer 7\nFOOTER", "s"), (10, None, None), (None, "footer\rshort but more than the half", "s"), (12, "footer\r\nb", "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = {r.doc_id: (r.text, r.dropped) for r in drop_frequent_lines(docs).collect()}
+    assert out == {**{i: (f"\n12\nown line {'x' * i}", 1) for i in range(1, 6)}, 10: (None, 0), None: ("short but more than the half", 1), 12: ("footer\r\nb", 0)}
+    many = spark.range(1000).selectExpr("id AS doc_id", "concat('line ', repeat('x', int(id)), IF(id < 8, '\nseen by eight', ''), IF(id < 20, '\nseen by twenty', '')) AS text", "'s' AS source")
+    assert {r.text.count("eight") * 10 + r.text.count("twenty") for r in drop_frequent_lines(many, keep=0.0).where("doc_id < 8").collect()} == {10}
+    lost = {r.doc_id: r.n_chars - r.kept_chars for r in depleted(many).where("doc_id < 21").collect()}
+    assert lost[0] == lost[19] == len("seen by twenty") and lost[20] == 0

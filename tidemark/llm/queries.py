@@ -87,7 +87,11 @@ def p10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.depleted(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p2_wrappers, p3_found, p3_pieces, p4_found, p4_statistics, p6_found, p6_pairs, p7_found, p7_clean, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_share, p10_lines)}
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.drop_frequent_lines(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p2_wrappers, p3_found, p3_pieces, p4_found, p4_statistics, p6_found, p6_pairs, p7_found, p7_clean, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_share, p10_lines, p10_clean)}
 
 _SHARES = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
 p AS (SELECT doc_id, i, list_aggregate(ws[i : i + 4], 'string_agg', ' ') AS g FROM w, unnest(range(1, len(ws) - 3)) AS t(i)),

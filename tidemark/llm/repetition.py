@@ -15,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.tables import small
+
 #: Words of a passage.
 WINDOW = 5
 _WORD = re.compile(r"\w+")
@@ -90,10 +92,20 @@ def repetitive(documents: DataFrame, share: float = 0.3) -> DataFrame:
     return repeated_words(documents).where((F.col("n_words") > 0) & (F.col("repeated_share") >= share - 1e-12)).select("doc_id")
 
 
+def _plain(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), r"(?U)[\s\p{Punct}\d]+", " "))
+
+
+def _host(host: str) -> Column:
+    return F.coalesce(F.lower(F.trim(host)), F.lit(""))
+
+
+_ENDS = r"\r\n|\r|\n"
+
+
 def _lines(documents: DataFrame, host: str):
-    line = F.explode(F.split("text", r"\r\n|\r|\n"))
-    rows = documents.where("text IS NOT NULL").select("doc_id", F.coalesce(F.lower(F.trim(host)), F.lit("")).alias("host"), line.alias("line"))
-    plain = F.trim(F.regexp_replace(F.lower("line"), r"(?U)[\s\p{Punct}\d]+", " "))
+    rows = documents.where("text IS NOT NULL").select("doc_id", _host(host).alias("host"), F.explode(F.split("text", _ENDS)).alias("line"))
+    plain = _plain(F.col("line"))
     return rows.select("doc_id", "host", F.length("line").alias("n_chars"), F.xxhash64(plain).alias("line_hash")).where(plain != "")
 
 
@@ -107,12 +119,43 @@ def line_frequency(documents: DataFrame, host: str = "source") -> DataFrame:
     return once.groupBy("host", "line_hash").agg(F.count("*").alias("documents"))
 
 
-def depleted(documents: DataFrame, host: str = "source", limit: int = 3, keep: float = 0.5) -> DataFrame:
+#: A line is frequent if more than this share of its host's documents hold it, and more than ``limit`` of them.
+FREQUENT_SHARE = 0.01
+
+
+def _frequent(documents: DataFrame, host: str, limit: int, share: float) -> DataFrame:
+    """(host, line_hash, documents) of the lines above the limit of their host, which grows with its documents."""
+    often = line_frequency(documents, host).where(F.col("documents") > limit)
+    each = documents.where("text IS NOT NULL").select(_host(host).alias("host"), "doc_id").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    return often.join(small(each), "host").where(F.col("documents") > share * F.col("of")).drop("of")
+
+
+def drop_frequent_lines(documents: DataFrame, host: str = "source", limit: int = 3, keep: float = 0.5, share: float = FREQUENT_SHARE) -> DataFrame:
+    """(doc_id, text, dropped): the documents without the lines that ``depleted`` counts as lost,
+    and how many those were; rejected documents are left out (query p10_clean).
+
+    Only hashes of frequent lines travel and come back to the texts.  A text without such
+    lines stays as it is, line ends included; NULL texts stay."""
+    own = _lines(documents, host).select("doc_id", "host", "line_hash").distinct().join(_frequent(documents, host, limit, share), ["host", "line_hash"])
+    found = own.groupBy(F.col("doc_id").alias("_doc"), F.col("host").alias("_host")).agg(F.collect_set("line_hash").alias("often"))
+    rows = documents.select("doc_id", _host(host).alias("host"), "text")
+    both = rows.join(found, rows.doc_id.eqNullSafe(found["_doc"]) & (rows.host == found["_host"]), "left")
+    lines, plain = F.split("text", _ENDS), _plain
+    frequent = lambda x: (plain(x) != "") & F.array_contains("often", F.xxhash64(plain(x)))
+    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), frequent(x).alias("out"), (plain(x) != "").alias("said")))
+    size = lambda test: F.aggregate(F.filter("lines", test), F.lit(0), lambda n, x: n + F.length(x.line))
+    parted = both.select("doc_id", "text", F.when(F.col("often").isNotNull(), marked).alias("lines"))
+    rest = F.array_join(F.transform(F.filter("lines", lambda x: ~x.out), lambda x: x.line), "\n")
+    rejected = F.coalesce(size(lambda x: x.said & ~x.out) < size(lambda x: x.said) * keep, F.lit(False))
+    dropped = F.when(F.col("lines").isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: x.out))).alias("dropped")
+    return parted.where(~rejected).select("doc_id", F.when(F.col("lines").isNull(), F.col("text")).otherwise(rest).alias("text"), dropped)
+
+
+def depleted(documents: DataFrame, host: str = "source", limit: int = 3, keep: float = 0.5, share: float = FREQUENT_SHARE) -> DataFrame:
     """(doc_id, n_chars, kept_chars, rejected): characters left without lines that more than
-    ``limit`` documents of the host hold; a document that keeps less than ``keep`` is rejected.
+    ``limit`` documents of the host and ``share`` of them hold; a document that keeps less than ``keep`` is rejected.
     Texts that are NULL or hold no line with a letter are not listed."""
     lines = _lines(documents, host)
-    often = line_frequency(documents, host).where(F.col("documents") > limit)
-    marked = lines.join(often, ["host", "line_hash"], "left")
+    marked = lines.join(_frequent(documents, host, limit, share), ["host", "line_hash"], "left")
     sums = marked.groupBy("doc_id").agg(F.sum("n_chars").alias("n_chars"), F.coalesce(F.sum(F.when(F.col("documents").isNull(), F.col("n_chars"))), F.lit(0)).alias("kept_chars"))
     return sums.withColumn("rejected", F.col("kept_chars") < F.col("n_chars") * keep)
