@@ -42,3 +42,8 @@ def test_splits(spark):
     words = spark.createDataFrame([("en", w) for w in ("the", "and", "was", "of", "in")], "lang string, word string")
     clean = lambda s: [r.clean_text for r in clean_scans(blocks, chapters, books, words, s).where("block_pos = 900").collect()]
     assert clean(True) == ["the window open was of the house in the anotherword"] and clean(False) == ["the windowopen was of the house in the anotherword"]
+
+
+def test_long_paragraph_of_blank_lines():
+    lines = [x for i in range(100) for x in (f"and line {i} goes on,", "")]
+    assert paragraphs(lines) == [" ".join(lines[::2])]

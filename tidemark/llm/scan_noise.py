@@ -255,7 +255,7 @@ def paragraphs(lines: list[str]) -> list[str]:
     n = len(rows)
     best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
     for j in range(1, n + 1):
-        options = []
+        options, least = [], float("inf")
         inner, size = 0.0, 0
         for i in range(j - 1, -1, -1):  # a paragraph of rows[i:j]
             size += len(rows[i][0])
@@ -264,7 +264,9 @@ def paragraphs(lines: list[str]) -> list[str]:
             edge = split_cost(i - 1) if i else 0.0
             cost = best[i][0] + edge + inner + 1.5 + (1.0 if size < 40 else 0.0)
             options.append((cost, best[i][1] + 1, i))
-            if inner > 60:
+            least = min(least, cost)
+            # rows[k:i] as a paragraph cost best[i] at least, so one that begins at k < i costs no less than this
+            if i and best[i][0] + join_cost(i - 1) + inner - 1.0 > least:
                 break
         best.append(min(options))
     cuts, j = [], n
