@@ -4,7 +4,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.incremental import CommitLog, canonical_path, due_sections, successful_runs, upper_limit
+from tidemark.operators.incremental import CommitLog, SectionFeed, canonical_path, due_sections, recorded_sections, successful_runs
 
 T0 = dt.datetime(2025, 1, 1)
 at = lambda n: T0 + dt.timedelta(hours=n)
@@ -45,8 +45,6 @@ def test_due(spark):
     f = frames(spark, sections, state, runs)
     assert [(r.run_id, r.book_id) for r in successful_runs(f[2], f[3]).collect()] == [("r1", 1)]
     assert keys(due_sections(*f)) == {(1, 0, 1), (1, 0, 2), (1, 0, 3), (1, 0, 4), (None, None, None)}
-    assert upper_limit(f[0]) == at(9) and upper_limit(f[0].limit(0)) is None
-    assert keys(due_sections(*f, upto=at(1))) == {(1, 0, 2), (1, 0, 3), (None, None, None)}
 
 
 def test_empty_and_clashing_columns(spark):
@@ -67,5 +65,45 @@ def test_commit_log(spark, tmp_path):
     assert log.watermark() == "4"
     assert log.run(source(8), lambda d: d) and not log.run(source(8), lambda d: d)
     assert sorted(r.seq for r in log.output().collect()) == list(range(8))
-    with pytest.raises(RuntimeError):
-        log._publish(0, {"upper": "1"})
+    with pytest.raises(RuntimeError, match="taken"):
+        log.publish(0, {"upper": "1"})
+
+
+def test_failure_between_write_and_publish(spark, tmp_path):
+    log = CommitLog(spark, f"file://{tmp_path}/log", "seq")
+    source = lambda n: spark.range(n).selectExpr("id AS seq")
+    log.run(source(3), lambda d: d)
+    publish, log.publish = log.publish, lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        log.run(source(6), lambda d: d)
+    assert log.watermark() == "2" and log.output().count() == 3
+    log.publish = publish
+    assert log.run(source(6), lambda d: d) and sorted(r.seq for r in log.output().collect()) == list(range(6))
+
+
+def test_ties_at_the_limit(spark, tmp_path):
+    log = CommitLog(spark, f"file://{tmp_path}/log", "seq")
+    rows = lambda *r: spark.createDataFrame(list(r), "seq int, v string, m map<string,int>")
+    a, b, c, d = (1, "a", None), (2, "b", {"x": 1}), (2, "b", {"x": 2}), (3, "d", None)
+    assert log.run(rows(a, b, b), lambda d: d) and not log.run(rows(a, b, b), lambda d: d)
+    assert log.run(rows(a, b, b, b, c), lambda d: d)  # more rows under the committed limit, one an exact copy
+    assert log.run(rows(a, b, b, b, c, d, (None, "n", None)), lambda d: d)
+    got = [(r.seq, r.v, r.m) for r in log.output().collect()]
+    assert len(got) == 6 and all(got.count(x) == n for x, n in ((a, 1), (b, 3), (c, 1), (d, 1)))
+
+
+def test_section_feed(spark, tmp_path):
+    v = lambda section, text, updated, received: (1, 0, section, text, None, at(updated), received and at(received))
+    feed = SectionFeed(spark, f"file://{tmp_path}/feed")
+    feed.FOLDERS = 2
+    first = [v(0, "a", 1, 1), v(1, "b", 1, 1), v(2, "c", 1, None)]
+    f = frames(spark, first, [("r1", 1, 0, 0, sha("a"), at(1))], [("r1", "/lib/a b.md", "ok", at(1), at(1))])
+    runs = [(first, {1, 2}), (first, set())]
+    later = [*first, v(1, "b", 1, 2), v(0, "a", 2, 3), v(3, "d", 1, 3)]  # a redelivery, a newer version with the same text, a new section
+    runs += [(later, {3}), ([*later, v(4, "e", 1, 3), v(0, "older", 0, 4)], {4}), ([*later, v(4, "e", 1, 3), v(0, "new", 5, 5)], {0})]  # a tie at the limit, a late old version
+    for rows, want in runs:
+        n = feed.run(spark.createDataFrame(rows, SECTIONS), recorded_sections(*f[1:]))
+        assert {k[2] for k in keys(feed.output(n))} == want
+    assert len(feed.last()[1]["states"]) == 1 or len(feed.last()[1]["states"]) <= 3
+    assert sorted(k.section_index for k in feed.output().collect()) == [0, 1, 2, 3, 4]
+    assert SectionFeed(spark, f"file://{tmp_path}/other").run(f[0].limit(0)) == 0

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.incremental import due_sections, successful_runs, upper_limit
+from tidemark.operators.incremental import SectionFeed, recorded_sections, successful_runs
 from tidemark.operators.trailing import resting_days, trailing_totals
-from tidemark.tables import read
+from tidemark.tables import read, scratch
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = [read(spark, sf_dir, t) for t in ("sections", "section_state", "book_runs", "books")]
-    return due_sections(*tables, upto=upper_limit(tables[0])).select("book_id", "chapter_index", "section_index")
+def p1_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The committed output of a run of the section feed that takes over the ledger's successful runs."""
+    sections, *ledger = [read(spark, sf_dir, t) for t in ("sections", "section_state", "book_runs", "books")]
+    feed = SectionFeed(spark, scratch(spark, "sections"))
+    feed.run(sections, recorded_sections(*ledger))
+    return feed.output()
 
 
-def p1_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = [read(spark, sf_dir, t) for t in ("sections", "section_state", "book_runs", "books")]
-    return due_sections(*tables, upto=upper_limit(tables[0]))
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_due(spark, sf_dir).select("book_id", "chapter_index", "section_index")
 
 
 def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

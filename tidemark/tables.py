@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +55,34 @@ def training_rows(table: DataFrame, rows: int, *keys: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir), set here only if unset, as in tests."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder all machines share (spark.checkpoint.dir).
+
+    Where it is unset it is set to a temporary folder on a local master, as in tests, and is
+    an error on a cluster, whose machines would not see each other's files.
+    """
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not place:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         import tempfile
 
         place = "file://" + tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(place)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(place)
+        drop_at_end(spark, place)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(place)
+    return place
+
+
+def drop_at_end(spark: SparkSession, place: str) -> None:
+    """Have a file or folder deleted when the session's process ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, dropped when the session's process ends."""
+    place = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark._jvm.org.apache.hadoop.fs.Path(place).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(place))
+    drop_at_end(spark, place)
     return place
