@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import api
 from tidemark.functions import nested, units
-from tidemark.plans.stages import StageStore, canonical_stages, deep_merge, settings_hash
+from tidemark.plans.stages import PartialProgress, Pool, StageStore, canonical_stages, deep_merge, reusable, settings_hash, with_cache
 
 
 def test_parameters():
@@ -50,3 +50,34 @@ def test_stages(spark, tmp_path):
         store.run("clean", docs((1, "a"), (2, "c")), lambda d: d.select("doc", F.raise_error(F.lit("boom")).cast("string").alias("out")))
     assert store.run("clean", docs((1, "a"), (2, "c"), (3, "d")), work) == 2
     assert {(r.doc, r.out) for r in store.output("clean").collect()} == {(1, "A"), (2, "C"), (3, "D")}
+    nothing = lambda d: work(d).where("doc <> 2")
+    assert store.run("clean", docs((2, "e")), nothing) == 1 and {(r.doc, r.out) for r in store.output("clean").collect()} == {(1, "A"), (3, "D")}
+    store.compact("clean")
+    assert {(r.doc, r.out) for r in store.output("clean").collect()} == {(1, "A"), (3, "D")} and store.run("clean", docs((2, "e"), (3, "d")), work) == 0
+    assert store.run("clean", docs((3, "x")), work) == 1 and {(r.doc, r.out) for r in store.output("clean").collect()} == {(1, "A"), (3, "X")}
+
+
+def test_partial_progress(spark, tmp_path):
+    at = f"file://{tmp_path}/partial"
+    rows = spark.createDataFrame([(1, "h1", None), (2, "h2", "calm"), (2, "h2", "calm")], "k int, h string, i string")
+    first = PartialProgress(spark, at, {"model": "a", "content": 1}, loose=["content"])
+    assert first.rows() is None
+    first.add(rows)
+    again = PartialProgress(spark, at, {"model": "a", "content": 2}, loose=["content"]).rows()
+    units = spark.createDataFrame([(1, "h1", None), (2, "h2", None), (3, "h3", None), (None, "h", None)], "k int, h string, i string")
+    assert [r.reuse for r in reusable(units, again, ["k"], "h", ["i"]).orderBy("k").collect()] == [False, True, False, False]
+    assert PartialProgress(spark, at, {"model": "b", "content": 2}, loose=["content"]).rows() is None
+
+
+def test_cache_and_pool(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, h string")
+    cache = spark.createDataFrame([(1, "a", "old"), (2, "x", "old")], "k int, h string, out string")
+    got = with_cache(rows, cache, ["k"], "h", ["out"], lambda d: d.withColumn("out", F.concat(F.lit("new "), "h")))
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "old"), (2, "b", "new b")]
+    pool = lambda: Pool(spark, f"file://{tmp_path}/pool", ["x", "y", "z"], 3)
+    names = lambda *n: spark.createDataFrame([(v,) for v in n], "name string")
+    first = [r.member for r in pool().assign(names("a", "b", "a", None), "name").orderBy("name").collect()]
+    second = [r.member for r in pool().assign(names("c", "d"), "name").orderBy("name").collect()]
+    assert len(set(first + second[:1])) == 3 and second[1] == first[0]
+    with pytest.raises(ValueError):
+        Pool(spark, f"file://{tmp_path}/none", [])
