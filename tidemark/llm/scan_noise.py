@@ -1,41 +1,58 @@
-"""Noise in text from scanned pages (problem 7).
+"""Noise in text from scanned pages (problem 7): one lattice of readings over the de-lined stream.
 
 The text of a page is de-lined: running headers and page numbers are taken out, and what is
-left is read as one stream of characters in which a unit is a word, or two parts of one with
-a hyphen and a line break between them.  Each distinct unit of the corpus is decoded once,
-jointly over merges, hyphens, confusions and, if asked for, splits: every reading of it is a candidate with
-a channel cost, the corpus' own word counts are the language model, and the cheapest reading
-wins.  A reading that crosses a hyphen tells a broken word, one with a confusion a misread.
-
-The lexicon is never collected or broadcast: distinct units, their readings and the word
-counts meet in joins, so a vocabulary of any size is decoded exactly, and what comes back to
-the texts is the short list of units that decode to something else.
+left is one stream of characters.  Its tokens are the written path of a lattice; the other
+edges are readings of one token (confused characters, a hyphen at a line end, two words run
+together) and of two neighbouring ones (a word torn apart, confused characters included).
+The corpus' own word counts are the language model.  An edge has the gain in log likelihood
+of its reading over what is written, and the best path of a text takes the edges that do
+not overlap and gain most.
+
+Confusions are not enumerated.  ``skeleton`` writes a string out in characters nothing is
+confused with any more (d and cl both as el, u and ii both as ii), so two strings turn into
+each other by confusions, however many, exactly if their skeletons are equal, and a skeleton
+cut in two is the skeletons of two strings.  Readings are equi-joins on it.
+
+The lexicon is never collected or broadcast: distinct units, skeletons and counts meet in
+joins, so a vocabulary of any size is decoded exactly.  No length, count or size changes the
+rules; all of them are ratios of counts.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.markup import texts
-from tidemark.tables import shared_dir, small
+from tidemark.tables import scratch, small
 
 # What a reader of scans takes for what, and the hyphens it leaves at line ends.
 CONFUSIONS = (("!", "i"), ("|", "l"), ("1", "l"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("c", "e"), ("b", "h"), ("f", "t"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("vv", "w"), ("li", "h"))
-HYPHENS = "-­¬‐"
-
-#: A word of the lexicon stands at least so often in the corpus.
-LEAST = 5
-#: A reading with one confusion, or two, must be so many times as frequent as the unit itself.
-RATIO = (0, 12, 40)
-
-_CHAR = r"[\p{L}\d|!]"
-_UNIT = rf"(?<![\p{{L}}\d_/\\&=?%#@.:+|!\-])({_CHAR}++(?:[{HYPHENS}]\h*\n\s*{_CHAR}++)?)(?![\p{{L}}\d_/\\&=%#@+]|[:.|](?=\S))"
+HYPHENS = "-\u00ad\u00ac\u2010"
+
+#: A reading of a word of letters with k confusions must be RATIO * STEP ** (k - 1) times as frequent as the word.
+RATIO, STEP = 12, 3.4
+#: One word in so many is torn, and at least one in so many run together with its neighbour.
+TORN, GLUED = 200, 30
+#: A hyphen at a line end parts a word so many times as often as it joins two.
+BROKEN = 8
+
+# One definition of a token for both engines: explicit classes, since Java and Python differ in \\s and \\d.
+_SP = " \t\x0b\x0c\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+_CHAR = r"[\p{L}0-9|!]"
+_NOT_BEFORE = r"(?<![\p{L}0-9_/\\&=?%#@.:+|!\-])"
+_NOT_AFTER = rf"(?![\p{{L}}0-9_/\\&=%#@+]|[:.|](?=[^{_SP}\n]))"
+_BREAK = rf"[{HYPHENS}][{_SP}]*\n[{_SP}\n]*"
+_TOKEN = rf"{_CHAR}++(?:{_BREAK}{_CHAR}++)?{_NOT_AFTER}"
+#: A token, with the white space behind it if a token follows at once.
+UNIT = rf"{_NOT_BEFORE}({_TOKEN}(?:(?:[{_SP}]+|[{_SP}]*\n[{_SP}]*)(?={_CHAR}++{_NOT_AFTER}))?)"
 _ROMAN = r"(?=[ivxl])x{0,3}(?:ix|iv|v?i{0,3})"
 _NUMBER = r"(?:\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|[-–—]\s*\d{1,4}\s*[-–—]|(?:page|seite|página|pagina|pág\.?|pag\.?|blz\.?|p\.|s\.|pg\.?)\s*\d{1,4}|\d{1,4}\s*/\s*\d{1,4}|\d{1,3}|(?!1[0-9]{3}$|20[0-9]{2}$)\d{4})"
 PAGE_LINE = rf"(?i)^\s*(?:{_NUMBER}|{_ROMAN})\s*$"
@@ -79,7 +96,7 @@ def delined(blocks: DataFrame, chapters: DataFrame, books: DataFrame) -> DataFra
     ready = split.select(*_KEYS, "text", "headers", "lines", F.coalesce(first, F.lit("")).alias("first"), F.when(F.col("lines").isNotNull(), prose).alias("prose"))
     known = lambda x: F.array_contains("headers", F.xxhash64(_letters(x)))
     repeats = lambda x: known(x) | (x.rlike("[·•|]") & F.exists(F.split(x, "[·•|]"), known))
-    is_header = lambda x: F.length(x).between(3, 240) & F.coalesce(repeats(x), F.lit(False)) & (x != F.col("first"))
+    is_header = lambda x: (F.length(x) >= 3) & F.coalesce(repeats(x), F.lit(False)) & (x != F.col("first"))
     is_page = lambda x: (F.length(x) <= 40) & F.col("prose") & x.rlike(PAGE_LINE) & (F.trim(x) != "")
     kind = lambda x: F.when(is_page(x), "page_number").when(is_header(x), "header").otherwise("")
     parsed = ready.select(*_KEYS, "text", F.transform("lines", lambda x: F.struct(x.alias("line"), kind(x).alias("kind"))).alias("lines"))
@@ -88,131 +105,226 @@ def delined(blocks: DataFrame, chapters: DataFrame, books: DataFrame) -> DataFra
     return parsed.select(*_KEYS, "text", F.coalesce(kept, "text").alias("stream"), kinds.alias("kinds"))
 
 
-def _units(stream: str = "stream") -> Column:
-    return F.regexp_extract_all(F.lower(stream), F.lit(_UNIT), 1)
+def tokens(streams: DataFrame) -> DataFrame:
+    """``streams`` with ``units``: the tokens of the stream in lower case, in order."""
+    return streams.withColumn("units", F.regexp_extract_all(F.lower("stream"), F.lit(UNIT), 1))
 
 
-def readings(unit: str) -> list[tuple[str, bool, int]]:
-    """(word, crosses a hyphen, confusions) of every reading of a unit that is one word.
+def _token(c: Column) -> Column:
+    """A unit without the white space behind it, a break in it written as hyphen and line feed."""
+    bare = F.regexp_replace(c, rf"[{_SP}\n]+$", "")
+    return F.when(bare.contains("\n"), F.regexp_replace(bare, _BREAK, "-\n")).otherwise(bare)
 
-    All confusions a unit needs to become letters are taken, and up to two more between
-    letters (one in a unit with more than sixteen places for them); the unit itself is no
-    reading unless marks at its end or a hyphen part from it.  A unit with more than four
-    unreadable characters, or with a digit that stands for no letter, has none.
-    """
-    plain = re.sub(rf"[{HYPHENS}]\s*\n\s*", "", unit)
-    merged = plain != unit
-    out: dict[str, tuple[bool, int]] = {}
-    forms = [plain, plain.rstrip("!")] if plain.endswith("!") else [plain]
-    for form in forms:
-        must = [(i, a, b) for i, ch in enumerate(form) if not ch.isalpha() for a, b in CONFUSIONS if a == ch]
-        spots = {i for i, _, _ in must}
-        if any(not ch.isalpha() and i not in spots for i, ch in enumerate(form)) or len(spots) > 4:
-            continue
-        may = [(i, a, b) for a, b in CONFUSIONS if a.isalpha() for i in range(len(form) - len(a) + 1) if form.startswith(a, i)]
-        for k in range(3 if len(may) <= 16 else 2):
-            for extra in itertools.combinations(may, k):
-                done = sorted((*must, *extra))
-                if any(x[0] + len(x[1]) > y[0] for x, y in itertools.pairwise(done)):
-                    continue
-                word, at = [], 0
-                for i, a, b in done:
-                    word += [form[at:i], b]
-                    at = i + len(a)
-                w = "".join(word) + form[at:]
-                n = len(done)
-                if w != unit and len(w) > 1 and (w not in out or out[w][1] > n):
-                    out[w] = (merged, n)
-    return [(w, h, n) for w, (h, n) in out.items()]
-
-
-def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            part = b.slice(at, 2000)
-            rows = [(u, n, *r) for u, n in zip(part.column("unit").to_pylist(), part.column("n").to_pylist(), strict=True) for r in readings(u)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["unit", "n", "word", "hyphen", "confusions"])
 
+def skeleton(c: Column) -> Column:
+    """A string in characters that nothing is confused with: equal for two strings if and only if confusions turn one into the other."""
+    plain = F.translate(c, "c|1!059f68b", "elliosgthhh")
+    for wide, narrow in (("d", "el"), ("m", "rn"), ("w", "vv"), ("u", "ii"), ("h", "li")):
+        plain = F.replace(plain, F.lit(wide), F.lit(narrow))
+    return plain
 
-def decode_units(streams: DataFrame, splits: bool = False) -> DataFrame:
-    """(unit, word, hyphen, confusions) of the distinct units whose best reading is not what is written.
 
-    Score of a reading: log of the word's count less a cost for each confusion.  A unit that
-    is itself a word of letters is given up only for a reading RATIO times as frequent.  With
-    ``splits``, a rare unit without another reading is parted into two frequent words; a rare
-    compound looks the same, so this is off unless asked for.
-    """
-    shared_dir(streams.sparkSession)
-    counts = streams.select(F.explode(_units()).alias("unit")).groupBy("unit").agg(F.count("*").alias("n")).checkpoint()  # lexicon and units both read it
-    lexicon = counts.where((F.col("n") >= LEAST) & F.col("unit").rlike(r"^\p{L}+$")).select(F.col("unit").alias("word"), F.col("n").alias("word_n"))
-    read = counts.where(F.col("unit").rlike(_DOUBTFUL) & (F.length("unit") > 2) & (F.length("unit") <= 60)).mapInArrow(_readings, "unit string, n bigint, word string, hyphen boolean, confusions int")
-    known = read.join(lexicon, "word")
-    letters = F.col("unit").rlike(r"^\p{L}+$")
-    floor = F.when(F.col("confusions") == 1, RATIO[1]).otherwise(RATIO[2]) * F.col("n")
-    known = known.where(~letters | (F.col("word_n") >= floor))
-    score = F.log("word_n") - F.col("confusions") * F.lit(3.0)
-    best = known.groupBy("unit").agg(F.max(F.struct(score.alias("score"), "word", "hyphen", "confusions")).alias("b"))
-    single = best.select("unit", "b.word", "b.hyphen", "b.confusions")
-    decoded = single.where("hyphen OR confusions > 0")
-    if not splits:
-        return decoded
-    rare = counts.where((F.col("n") < LEAST) & F.col("unit").rlike(r"^\p{L}{6,24}$")).join(single, "unit", "left_anti")
-    cut = rare.select("unit", F.explode(F.sequence(F.lit(2), F.length("unit") - 2)).alias("at")).selectExpr("unit", "substring(unit, 1, at) AS left", "substring(unit, at + 1) AS right")
-    often = lexicon.where(F.col("word_n") >= 20 * LEAST)
-    left, right = often.select(F.col("word").alias("left"), F.col("word_n").alias("left_n")), often.select(F.col("word").alias("right"), F.col("word_n").alias("right_n"))
-    parted = cut.join(left, "left").join(right, "right").groupBy("unit").agg(F.max(F.struct(F.least("left_n", "right_n"), F.concat_ws(" ", "left", "right").alias("word"))).alias("b"))
-    return decoded.unionByName(parted.select("unit", "b.word", F.lit(False).alias("hyphen"), F.lit(0).alias("confusions")))
-
-
-#: What the characters of a unit must hold for any reading of it to differ from it.
-_DOUBTFUL = r"[^\p{L}]|[cbf]|ii|rn|vv|li"
+def _steps() -> dict[tuple[str, str], int]:
+    """(seen, meant) to the confusions between them: those given, and chains of them (d seen as cl, its l as a bar)."""
+    out = {pair: 1 for pair in CONFUSIONS}
+    while True:
+        more = {}
+        for (seen, meant), n in out.items():
+            for a, b in CONFUSIONS:
+                for at in range(len(seen)):
+                    if seen.startswith(b, at) and ((chain := (seen[:at] + a + seen[at + len(b) :], meant)) not in out or out[chain] > n + 1):
+                        more[chain] = min(n + 1, more.get(chain, n + 1))
+        if not more:
+            return out
+        out |= more
 
 
-def _is_prose(common_words: DataFrame) -> Column:
-    """Whether a stream holds three common words of any language, two if it is short; the words are a table of fixed length."""
-    words = sorted({r.word.lower() for r in common_words.select("word").distinct().collect() if r.word and r.word.isalpha()})
-    if not words:
-        return F.lit(True)
-    by_letter = itertools.groupby(words, key=lambda w: w[0])
-    one = r"(?<![\p{L}\d])(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in ws)})" for c, ws in by_letter) + r")(?![\p{L}\d])"
-    return F.when(F.length("stream") < 150, F.col("stream").rlike(f"(?is){one}.*?{one}")).otherwise(F.col("stream").rlike(f"(?is){one}.*?{one}.*?{one}"))
+STEPS = _steps()
 
 
-#: Decoded units are broadcast up to this number, some 100 bytes each; beyond it they are joined by a shuffle.
-BROADCAST_UNITS = 400_000
+def confusions(seen: str, word: str) -> int:
+    """The least number of confusions that make ``word`` be seen as ``seen``, -1 if only the other way round or not at all."""
+    best = [[math.inf] * (len(word) + 1) for _ in range(len(seen) + 1)]
+    best[0][0] = 0
+    for i, row in enumerate(best):
+        for j, cost in enumerate(row):
+            if cost == math.inf:
+                continue
+            if i < len(seen) and j < len(word) and seen[i] == word[j]:
+                best[i + 1][j + 1] = min(best[i + 1][j + 1], cost)
+            for (a, b), n in STEPS.items():
+                if seen.startswith(a, i) and word.startswith(b, j):
+                    best[i + len(a)][j + len(b)] = min(best[i + len(a)][j + len(b)], cost + n)
+    return -1 if best[-1][-1] == math.inf else int(best[-1][-1])
 
 
-def _decoded(streams: DataFrame, splits: bool = False) -> DataFrame:
-    """decode_units, worked out once and with a broadcast hint if they are few."""
-    decoded = decode_units(streams, splits).checkpoint()
-    return F.broadcast(decoded) if decoded.count() <= BROADCAST_UNITS else decoded
+def _with_confusions(pairs: DataFrame) -> DataFrame:
+    """Pairs (.., seen, word) with ``k``; -1 where only the other way round they are confused."""
+    fields = [f for f in pairs.schema.fields]
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", k int"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = [confusions(x, y) for x, y in zip(b.column("seen").to_pylist(), b.column("word").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k, pa.int32())], [*b.schema.names, "k"])
 
-def _prose_units(common_words: DataFrame) -> Column:
-    """The units of prose; strings of no language are left as they are."""
-    return F.when(_is_prose(common_words), _units()).otherwise(F.array().cast("array<string>"))
+    return pairs.mapInArrow(run, ddl).where("k >= 0")
 
 
-def _hits(streams: DataFrame, common_words: DataFrame, splits: bool = False) -> DataFrame:
-    """(key, unit, word, hyphen, confusions) of the units of prose texts that decode to something else."""
-    each = streams.select(*_KEYS, F.explode(_prose_units(common_words)).alias("unit"))
-    return (each if splits else each.where(F.col("unit").rlike(_DOUBTFUL))).join(_decoded(streams, splits), "unit")
+_LETTERS = r"^\p{L}+$"
+_EDGE = ("surface", "word", "hyphen", "k", "gain")
 
 
-def noise_found(blocks: DataFrame, chapters: DataFrame, books: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(book_id, chapter_index, block_pos, noise), one row for each kind of a text (query p7_found).
+def _ratio(k: str = "k") -> Column:
+    return F.when(F.col(k) == 0, 1.0).otherwise(RATIO * F.pow(F.lit(STEP), F.col(k) - 1))
+
 
-    Noise of lines and units of a text leave the scan together, so that it is read once.
+def edges(counts: DataFrame, total: int) -> DataFrame:
+    """(surface, word, hyphen, k, gain): the best reading of every surface that is not what is written.
+
+    ``counts`` has (unit, n) of all distinct tokens, ``total`` is their sum.  A surface is a
+    token or two of them with a space between; k counts confusions.  Gain is the log of how
+    many times likelier the reading is than what is written:
+
+    * a word of letters read as another one: n_word / (RATIO.. * n_written);
+    * a token that is no word: n_word / n_written, or, with a mark at its end, against the
+      word in front of the mark;
+    * broken at a hyphen: n_word against the chance of the two parts meeting, n_a * n_b / total;
+      a word seen nowhere else counts if neither part stands anywhere by itself;
+    * torn in two: n_word / TORN against the same chance;
+    * run together: both parts GLUED times as frequent, and likelier to meet than it is to occur.
     """
-    streams = delined(blocks, chapters, books)
-    lines = F.coalesce(F.transform("kinds", lambda k: F.concat(F.lit("\x01"), k)), F.array().cast("array<string>"))
-    each = streams.select(*_KEYS, F.explode(F.concat(lines, _prose_units(common_words))).alias("unit"))
-    is_line = F.col("unit").startswith("\x01")
-    noted = each.where(is_line | F.col("unit").rlike(_DOUBTFUL)).join(_decoded(streams), "unit", "left")
-    kinds = F.when(is_line, F.array(F.substring("unit", 2, 20))).otherwise(F.array_compact(F.array(F.when(F.col("hyphen"), "hyphen"), F.when(F.col("confusions") > 0, "misread"))))
-    return noted.select(*_KEYS, F.explode(kinds).alias("noise")).distinct()
+    base = counts.where(~F.col("unit").contains("\n"))
+    shaped = base.select("unit", "n", skeleton(F.col("unit")).alias("skel"), F.col("unit").rlike(_LETTERS).alias("letters"))
+    lexicon = shaped.where(F.col("letters") & (F.length("unit") > 1)).select(F.col("unit").alias("word"), F.col("n").alias("word_n"), "skel")
+    log = lambda x: F.log(F.greatest(x.cast("double"), F.lit(1e-9)))
+    chance = lambda a, b: F.greatest(F.coalesce(a, F.lit(0)), F.lit(0.5)) * F.greatest(F.coalesce(b, F.lit(0)), F.lit(0.5)) / F.lit(float(max(total, 1)))
+
+    # one token, one word
+    bare = base.where(F.col("unit").endswith("!")).select("unit", F.regexp_replace("unit", "!+$", "").alias("bare"))
+    marked = bare.join(counts.select(F.col("unit").alias("bare"), F.col("n").alias("bare_n")), "bare", "left").where("bare <> ''")
+    forms = shaped.select("unit", F.col("unit").alias("seen"), "skel", "n", "letters").join(marked.select("unit", "bare_n"), "unit", "left")
+    forms = forms.select("unit", "seen", "skel", F.coalesce("bare_n", "n").alias("own"), (F.col("letters") | F.col("bare_n").isNotNull()).alias("is_word"))
+    stripped = marked.where("bare_n IS NULL").select("unit", F.col("bare").alias("seen"), skeleton(F.col("bare")).alias("skel"), F.lit(1).cast("long").alias("own"), F.col("bare").rlike(_LETTERS).alias("is_word"))
+    single = forms.unionByName(stripped).where(F.length("seen") > 2).join(lexicon, "skel").where("word <> seen AND word_n >= 2 AND word_n >= own").drop("skel")
+    single = _with_confusions(single.where(~F.col("is_word") | (F.col("word_n") >= RATIO * F.col("own")))).withColumn("need", F.when(F.col("is_word"), _ratio()).otherwise(F.lit(1.0)))
+    single = single.where("word_n >= need * own").select(F.col("unit").alias("surface"), "word", F.lit(False).alias("hyphen"), "k", (log(F.col("word_n") / F.col("need") / F.col("own")) + F.lit(0.1)).alias("gain"))
+
+    # one token broken at a hyphen
+    broken = counts.where(F.col("unit").contains("\n")).select("unit", F.col("n").alias("own"), F.substring_index("unit", "-\n", 1).alias("a"), F.substring_index("unit", "-\n", -1).alias("b"))
+    part = lambda x: counts.select(F.col("unit").alias(x), F.col("n").alias(f"{x}_n"))
+    parted = broken.join(part("a"), "a", "left").join(part("b"), "b", "left").withColumn("seen", F.regexp_replace(F.concat("a", "b"), "!+$", "")).withColumn("skel", skeleton(F.col("seen")))
+    known = _with_confusions(parted.join(lexicon, "skel").where("word_n >= 1").drop("skel")).where("k = 0 OR word_n >= 3")
+    known = known.select(F.col("unit").alias("surface"), "word", F.lit(True).alias("hyphen"), "k", (log(F.col("word_n") / _ratio() * BROKEN) - log(chance(F.col("a_n"), F.col("b_n")))).alias("gain"))
+    unknown = parted.where("a_n IS NULL AND b_n IS NULL AND length(a) > 1 AND length(b) > 1").where(F.col("seen").rlike(_LETTERS))
+    unknown = unknown.select(F.col("unit").alias("surface"), F.col("seen").alias("word"), F.lit(True).alias("hyphen"), F.lit(0).alias("k"), F.lit(0.5).alias("gain"))
+
+    # two tokens, one word: cuts of the skeleton of a word meet the skeletons of tokens
+    words = lexicon.where("word_n >= 2 AND length(word) > 3")
+    cut = words.select("word", "word_n", "skel", F.explode(F.sequence(F.lit(1), F.length("skel") - 1)).alias("at")).selectExpr("word", "word_n", "substring(skel, 1, at) AS sa", "substring(skel, at + 1) AS sb")
+    piece = lambda x: shaped.where(F.col("unit").rlike(r"\p{L}")).select(F.col("unit").alias(x), F.col("n").alias(f"{x}_n"), F.col("skel").alias(f"s{x}"))
+    gain = log(F.col("word_n") / TORN) - log(chance(F.col("a_n"), F.col("b_n")))
+    torn = cut.join(piece("a"), "sa").where("word_n >= a_n").join(piece("b"), "sb").where("word_n >= b_n").where(gain > 0)
+    torn = _with_confusions(torn.select("a", "b", "a_n", "b_n", "word", "word_n", F.concat("a", "b").alias("seen")))
+    torn = torn.select(F.concat_ws(" ", "a", "b").alias("surface"), "word", F.lit(False).alias("hyphen"), "k", (gain - F.log(_ratio())).alias("gain"))
+
+    # one token, two words
+    rare = shaped.where(F.col("letters") & (F.length("unit") > 4)).select("unit", F.col("n").alias("own"))
+    halves = rare.select("unit", "own", F.explode(F.sequence(F.lit(2), F.length("unit") - 2)).alias("at")).selectExpr("unit", "own", "substring(unit, 1, at) AS a", "substring(unit, at + 1) AS b")
+    often = lambda x: lexicon.where(F.col("word_n") >= GLUED).select(F.col("word").alias(x), F.col("word_n").alias(f"{x}_n"))
+    glued = halves.join(often("a"), "a").where(F.col("a_n") >= GLUED * F.col("own")).join(often("b"), "b").where(F.col("b_n") >= GLUED * F.col("own"))
+    meets = log(F.col("a_n").cast("double") * F.col("b_n") / F.lit(float(max(total, 1))) / F.col("own"))
+    glued = glued.where(meets >= 0).select(F.col("unit").alias("surface"), F.concat_ws(" ", "a", "b").alias("word"), F.lit(False).alias("hyphen"), F.lit(0).alias("k"), (meets + 0.1).alias("gain"))
+
+    every = single.unionByName(known).unionByName(unknown).unionByName(torn).unionByName(glued).where("gain > 0")
+    best = F.max(F.struct("gain", (-F.col("k")).alias("k"), "word", "hyphen"))
+    return every.groupBy("surface").agg(best.alias("e")).select("surface", "e.word", "e.hyphen", (-F.col("e.k")).alias("k"), "e.gain")
+
+
+def _is_prose(common_words: DataFrame) -> Column:
+    """Whether a stream holds two common words of any language; the words are a table of fixed length."""
+    words = sorted({r.word.lower() for r in common_words.select("word").distinct().collect() if r.word and r.word.isalpha()})
+    if not words:
+        return F.lit(True)
+    by_letter = itertools.groupby(words, key=lambda w: w[0])
+    one = r"(?<![\p{L}\d])(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in ws)})" for c, ws in by_letter) + r")(?![\p{L}\d])"
+    return F.col("stream").rlike(f"(?is){one}.*?{one}")
+
+
+#: Edges are broadcast up to this number, some 100 bytes each; beyond it they meet the tokens in a shuffled join.
+BROADCAST_EDGES = 400_000
+#: In a text without common words one word counts as read from so many letters; shorter ones meet strings of no language by chance.
+LEAST_LETTERS = 6
+_PATH = ("book_id", "chapter_index", "block_pos", "text_hash")
+
+
+def best_path(found: list[dict]) -> list[dict]:
+    """The edges of one text that do not overlap and gain most together; on ties those that come first."""
+    by_end: dict[int, list[dict]] = {}
+    for e in found:
+        by_end.setdefault(e["pos"] + 1 + (" " in e["surface"]), []).append(e)
+    ends = [0, *sorted(by_end)]
+    best: list[tuple[float, dict | None, int]] = [(0.0, None, 0)]  # gain up to here, edge that ends here, index before it
+    for i in range(1, len(ends)):
+        score = (best[i - 1][0], None, i - 1)
+        for e in by_end[ends[i]]:
+            before = next(j for j in range(i - 1, -1, -1) if ends[j] <= e["pos"])
+            if best[before][0] + e["gain"] > score[0]:
+                score = (best[before][0] + e["gain"], e, before)
+        best.append(score)
+    out, i = [], len(best) - 1
+    while i:
+        _, e, before = best[i]
+        if e is not None:
+            out.append(e)
+        i = before
+    return out[::-1]
+
+
+def decode(streams: DataFrame, common_words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the streams with their text_hash and tokens, the decoded paths: key, text_hash, path).
+
+    ``path`` is the array of (pos, surface, word, hyphen, k) of the edges taken, pos counting the
+    tokens of the stream.  Texts that are read as they stand have no row.  The tokens of the
+    streams are worked out once and kept in the shared folder, as counts and lattice both need them.
+    """
+    spark = streams.sparkSession
+    place = scratch(spark, "tokens")
+    prose = _is_prose(common_words).alias("prose")
+    hashed = F.xxhash64("text").alias("text_hash")
+    tokens(streams).select(*_KEYS, hashed, "kinds", prose, "units").write.parquet(f"{place}/streams")
+    kept = spark.read.parquet(f"{place}/streams")
+    each = kept.select(*_PATH, "prose", F.posexplode(F.arrays_zip(F.col("units").alias("a"), F.slice("units", 2, 1 << 30).alias("b"))).alias("pos", "z"))
+    each.select(_token(F.col("z.a")).alias("unit")).groupBy("unit").agg(F.count("*").alias("n")).write.parquet(f"{place}/counts")
+    counts = spark.read.parquet(f"{place}/counts")
+    edges(counts, counts.agg(F.sum("n")).first()[0] or 0).write.parquet(f"{place}/edges")
+    lattice = spark.read.parquet(f"{place}/edges")
+    near = F.length("z.a") > F.length(_token(F.col("z.a")))
+    surfaces = F.array(_token(F.col("z.a")), F.when(near & ~F.col("z.a").rlike(_BREAK), F.concat(_token(F.col("z.a")), F.lit(" "), _token(F.col("z.b")))))
+    spread = each.select(*_PATH, "prose", "pos", F.explode(surfaces).alias("surface"))
+    hits = spread.join(F.broadcast(lattice) if lattice.count() <= BROADCAST_EDGES else lattice, "surface")
+    sure = F.col("prose") | (~F.col("surface").contains(" ") & ~F.col("word").contains(" ") & (F.length("word") >= LEAST_LETTERS))
+    taken = hits.where(sure).groupBy(*_PATH).agg(F.collect_set(F.struct("pos", "surface", "word", "hyphen", "k", "gain")).alias("found"))
+    return kept, taken.mapInArrow(_paths, "book_id bigint, chapter_index int, block_pos int, text_hash bigint, path array<struct<pos:int,surface:string,word:string,hyphen:boolean,k:int>>")
+
+
+_STEP = pa.list_(pa.struct([("pos", pa.int32()), ("surface", pa.string()), ("word", pa.string()), ("hyphen", pa.bool_()), ("k", pa.int32())]))
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        paths = [best_path(f) if len(f) > 1 else f for f in b.column("found").to_pylist()]
+        rows = [[{n: e[n] for n in ("pos", "surface", "word", "hyphen", "k")} for e in p] for p in paths]
+        yield pa.RecordBatch.from_arrays([*[b.column(k) for k in _PATH], pa.array(rows, _STEP)], [*_PATH, "path"])
+
+
+def noise_found(blocks: DataFrame, chapters: DataFrame, books: DataFrame, common_words: DataFrame) -> DataFrame:
+    """(book_id, chapter_index, block_pos, noise), one row for each kind of a text (query p7_found)."""
+    kept, paths = decode(delined(blocks, chapters, books), common_words)
+    lines = kept.select(*_KEYS, F.explode("kinds").alias("noise"))
+    kinds = F.array(F.when(F.exists("path", lambda e: e.hyphen), "hyphen"), F.when(F.exists("path", lambda e: e.k > 0), "misread"))
+    words = paths.select(*_KEYS, F.explode(F.array_compact(kinds)).alias("noise"))
+    return lines.unionByName(words).distinct()
 
 
 # --- repair ----------------------------------------------------------------------------
@@ -276,40 +388,65 @@ def paragraphs(lines: list[str]) -> list[str]:
     return [" ".join(r for r, _ in rows[i:j]) for i, j in reversed(cuts)]
 
 
-_UNIT_PY = re.compile(rf"[^\W_|!]*(?:[|!]*[^\W_]+)+[|!]*(?:[{HYPHENS}][ \t]*\n\s*[^\W_|!]*(?:[|!]*[^\W_]+)+[|!]*)?|[|!]+[^\W_]+")
+_UNIT_PY = regex.compile(UNIT)
+_TAIL = regex.compile(rf"[{_SP}\n]+$")
+_BREAK_PY = regex.compile(_BREAK)
+
 
+def _spelled(seen: str, word: str) -> str:
+    letters = [c for c in seen if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return word.upper()
+    return word[0].upper() + word[1:] if seen[0].isupper() else word
 
-def repair(stream: str, fixes: dict[str, str]) -> str:
-    """The stream with decoded units written out and its lines put together to paragraphs."""
 
-    def one(m: re.Match) -> str:
-        word = fixes.get(m[0].lower())
-        if word is None:
-            return m[0]
-        letters = [c for c in m[0] if c.isalpha()]
-        if len(letters) > 1 and all(c.isupper() for c in letters):
-            return word.upper()
-        return word[0].upper() + word[1:] if m[0][0].isupper() else word
+def repair(stream: str, path: list[dict]) -> str:
+    """The stream with the words of its path written out and its lines put together to paragraphs.
+
+    A break at a hyphen that the path does not join stays a line end, so that no space comes
+    into a compound; marks a reading does not hold stay behind it.
+    """
+    taken = {e["pos"]: e for e in path}
+    out, at, skip = [], 0, False
+    found = list(_UNIT_PY.finditer(stream)) if path else []
+    for i, m in enumerate(found):
+        if skip or (e := taken.get(i)) is None:
+            skip = False
+            continue
+        start, end = m.start(1), m.end(1) - len(t[0] if (t := _TAIL.search(m[1])) else "")
+        seen = stream[start:end]
+        if " " in e["surface"] and i + 1 < len(found):
+            n = found[i + 1]
+            end, skip = n.end(1) - len(t[0] if (t := _TAIL.search(n[1])) else ""), True
+            seen += " " + stream[n.start(1) : end]
+        if _BREAK_PY.sub("-\n", seen.lower()) != e["surface"]:
+            continue  # the other engine parts the text elsewhere
+        marks = len(seen) - len(seen.rstrip("!")) if not e["word"].endswith("i") else 0
+        out += [stream[at:start], _spelled(seen, e["word"]), "!" * marks]
+        at = end
+    text = "".join(out) + stream[at:]
+    kept = _BREAK_PY.sub(lambda m: m[0][0] + _JOINT, text)
+    return "\n\n".join(paragraphs(kept.split("\n"))).replace(_JOINT, "\n")
+
 
-    text = _UNIT_PY.sub(one, stream) if fixes else stream
-    return "\n\n".join(paragraphs(text.split("\n")))
+_JOINT = "\ue002"  # private use: a line end that stays
 
 
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fixes = [dict(x) if x else {} for x in b.column("fixes").to_pylist()]
-        clean = [repair(s, f) for s, f in zip(b.column("stream").to_pylist(), fixes, strict=True)]
-        yield pa.RecordBatch.from_arrays([*[b.column(k) for k in _KEYS], pa.array(clean, pa.string()), pa.array([len(f) for f in fixes], pa.int32())], [*_KEYS, "clean_text", "repaired"])
+        path = [p or [] for p in b.column("path").to_pylist()]
+        clean = [repair(s, p) for s, p in zip(b.column("stream").to_pylist(), path, strict=True)]
+        yield pa.RecordBatch.from_arrays([*[b.column(k) for k in _KEYS], pa.array(clean, pa.string()), pa.array([len(p) for p in path], pa.int32())], [*_KEYS, "clean_text", "repaired"])
 
 
-def clean_scans(blocks: DataFrame, chapters: DataFrame, books: DataFrame, common_words: DataFrame, splits: bool = False) -> DataFrame:
+def clean_scans(blocks: DataFrame, chapters: DataFrame, books: DataFrame, common_words: DataFrame) -> DataFrame:
     """(book_id, chapter_index, block_pos, clean_text, repaired) of every text with noise of any kind
     or with more than one line: header and page number lines gone, words repaired, paragraphs of
     one line each.  Copies of a block count once; texts without any of this are not listed."""
     streams = delined(blocks, chapters, books)
-    fixes = _hits(streams, common_words, splits).groupBy(*_KEYS).agg(F.map_from_entries(F.collect_set(F.struct("unit", "word"))).alias("fixes"))
-    once = streams.groupBy(*_KEYS).agg(F.max(F.struct("stream", "kinds")).alias("s")).select(*_KEYS, "s.*")
-    null_safe = [once[k].eqNullSafe(fixes[k]) for k in _KEYS]
-    both = once.join(fixes, null_safe, "left").select(*[once[k] for k in _KEYS], "stream", "fixes", "kinds")
-    noisy = both.where("fixes IS NOT NULL OR size(kinds) > 0 OR contains(stream, '\\n')")
-    return noisy.select(*_KEYS, "stream", "fixes").mapInArrow(_repair, "book_id bigint, chapter_index int, block_pos int, clean_text string, repaired int")
+    _, paths = decode(streams, common_words)
+    once = streams.select(*_KEYS, F.xxhash64("text").alias("text_hash"), "stream", "kinds").groupBy(*_KEYS).agg(F.max(F.struct("stream", "text_hash", "kinds")).alias("s")).select(*_KEYS, "s.*")
+    null_safe = [once[k].eqNullSafe(paths[k]) for k in _PATH]
+    both = once.join(paths, null_safe, "left").select(*[once[k] for k in _KEYS], "stream", "path", "kinds")
+    noisy = both.where("path IS NOT NULL OR size(kinds) > 0 OR contains(stream, '\n')")
+    return noisy.select(*_KEYS, "stream", "path").mapInArrow(_repair, "book_id bigint, chapter_index int, block_pos int, clean_text string, repaired int")
