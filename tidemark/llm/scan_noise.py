@@ -46,6 +46,7 @@ BROKEN = 8
 
 # One definition of a token for both engines: explicit classes, since Java and Python differ in \\s and \\d.
 _SP = " \t\x0b\x0c\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+_BLANKS = " \t\x0b\x0c\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\n"
 _CHAR = r"[\p{L}0-9|!]"
 _NOT_BEFORE = r"(?<![\p{L}0-9_/\\&=?%#@.:+|!\-])"
 _NOT_AFTER = rf"(?![\p{{L}}0-9_/\\&=%#@+]|[:.|](?=[^{_SP}\n]))"
@@ -106,14 +107,16 @@ def delined(blocks: DataFrame, chapters: DataFrame, books: DataFrame) -> DataFra
 
 
 def tokens(streams: DataFrame) -> DataFrame:
-    """``streams`` with ``units``: the tokens of the stream in lower case, in order."""
-    return streams.withColumn("units", F.regexp_extract_all(F.lower("stream"), F.lit(UNIT), 1))
+    """``streams`` with ``units``: the tokens of the stream in lower case, in order, a break in one written as hyphen and line feed."""
+    low = F.lower("stream")
+    broken = F.regexp_replace(low, rf"{_BREAK}(?={_CHAR})", "-\n")
+    flat = F.regexp_replace(broken, rf"(?<![-\n{_SP}])[{_SP}]*+\n[{_SP}]*+(?!\n)", " ")
+    return streams.withColumn("units", F.regexp_extract_all(F.when(F.col("stream").contains("\n"), flat).otherwise(low), F.lit(UNIT), 1))
 
 
-def _token(c: Column) -> Column:
-    """A unit without the white space behind it, a break in it written as hyphen and line feed."""
-    bare = F.regexp_replace(c, rf"[{_SP}\n]+$", "")
-    return F.when(bare.contains("\n"), F.regexp_replace(bare, _BREAK, "-\n")).otherwise(bare)
+def _token(c: str) -> Column:
+    """A unit without the white space behind it."""
+    return F.rtrim(c, F.lit(_BLANKS))
 
 
 def skeleton(c: Column) -> Column:
@@ -294,16 +297,16 @@ def decode(streams: DataFrame, common_words: DataFrame) -> tuple[DataFrame, Data
     hashed = F.xxhash64("text").alias("text_hash")
     tokens(streams).select(*_KEYS, hashed, "kinds", prose, "units").write.parquet(f"{place}/streams")
     kept = spark.read.parquet(f"{place}/streams")
-    each = kept.select(*_PATH, "prose", F.posexplode(F.arrays_zip(F.col("units").alias("a"), F.slice("units", 2, 1 << 30).alias("b"))).alias("pos", "z"))
-    each.select(_token(F.col("z.a")).alias("unit")).groupBy("unit").agg(F.count("*").alias("n")).write.parquet(f"{place}/counts")
+    kept.select(F.explode("units").alias("unit")).groupBy(_token("unit").alias("unit")).agg(F.count("*").alias("n")).write.parquet(f"{place}/counts")
     counts = spark.read.parquet(f"{place}/counts")
     edges(counts, counts.agg(F.sum("n")).first()[0] or 0).write.parquet(f"{place}/edges")
     lattice = spark.read.parquet(f"{place}/edges")
-    near = F.length("z.a") > F.length(_token(F.col("z.a")))
-    surfaces = F.array(_token(F.col("z.a")), F.when(near & ~F.col("z.a").rlike(_BREAK), F.concat(_token(F.col("z.a")), F.lit(" "), _token(F.col("z.b")))))
-    spread = each.select(*_PATH, "prose", "pos", F.explode(surfaces).alias("surface"))
-    hits = spread.join(F.broadcast(lattice) if lattice.count() <= BROADCAST_EDGES else lattice, "surface")
-    sure = F.col("prose") | (~F.col("surface").contains(" ") & ~F.col("word").contains(" ") & (F.length("word") >= LEAST_LETTERS))
+    pair = F.when(F.col("surface").contains(" "), F.split("surface", " "))
+    headed = lattice.select(F.coalesce(pair[0], "surface").alias("head"), pair[1].alias("tail"), "surface", "word", "hyphen", "k", "gain")
+    each = kept.select(*_PATH, "prose", F.posexplode(F.arrays_zip(F.col("units").alias("a"), F.slice("units", 2, 1 << 30).alias("b"))).alias("pos", "z")).select(*_PATH, "prose", "pos", _token("z.a").alias("head"), "z.a", "z.b")
+    met = each.join(F.broadcast(headed) if lattice.count() <= BROADCAST_EDGES else headed, "head")
+    hits = met.where(F.col("tail").isNull() | ((F.length("a") > F.length("head")) & (F.col("tail") == _token("b"))))
+    sure = F.col("prose") | (F.col("tail").isNull() & ~F.col("word").contains(" ") & (F.length("word") >= LEAST_LETTERS))
     taken = hits.where(sure).groupBy(*_PATH).agg(F.collect_set(F.struct("pos", "surface", "word", "hyphen", "k", "gain")).alias("found"))
     return kept, taken.mapInArrow(_paths, "book_id bigint, chapter_index int, block_pos int, text_hash bigint, path array<struct<pos:int,surface:string,word:string,hyphen:boolean,k:int>>")
 
