@@ -2,19 +2,29 @@
 
 The clauses of a response (the cleaned text, then the reading hint) are tagged as answer,
 refusal, echo, foreign or unfinished by a linear-chain conditional random field; the words
-its tags cover decide the defect of the pair.  The field is trained on a bounded sample of
-pairs whose clauses labelling functions are sure of.
+its tags cover decide the defect of the pair.
+
+No list of phrases tells a refusal.  Labelling functions are sure of pairs by their structure
+alone: an answer far shorter than its passage and without its words declines, one as long as
+the passage in another language is foreign.  On a bounded sample of those the words and word
+pairs of clauses are weighed (how much likelier in a declined answer than in any other), and
+the field is trained on structure and weight, every sequence also with its weights left out,
+so that it neither needs nor only trusts words it has seen.  It decides all pairs, those the
+labelling functions are not sure of included.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.tables import spread, training_rows
@@ -22,31 +32,21 @@ from tidemark.tables import spread, training_rows
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 DEFECTS = ("empty", "refusal", "other_language", "truncated", "copied")
 #: Pairs that the field is trained on, of each weakly labelled defect and of sound ones; those with the least hashes.
-SAMPLE = 500
+SAMPLE = 250
 #: Pairs that are labelled for training, at most, by the hash of their key; all are tagged.
 TRAIN_PAIRS = 40_000
-#: Clauses of a response that training looks at; tagging looks at all.
-TRAIN_CLAUSES = 12
+#: Clauses of a response that is trained on, at most; longer ones are only tagged.
+TRAIN_CLAUSES = 16
 
-# Marks a sound answer drops, and what refusals are made of.
+# Marks a sound answer drops.
 _MARK = re.compile(r"\(\s*(?:https?://|www\.)[^\s)]*\s*\)|https?://[^\s)\]}”\"]+|www\.[^\s)\]}”\"]*[^\s)\]}”\".,;:!?]|\([^()\d]{2,60}\b(?:1[4-9]|20)\d\d[a-z]?(?:,\s*(?:pp?|S|s)\.?\s*\d+(?:[-–]\d+)?)?\)|\[\^?\d{1,4}\]|\((?:see|cf\.?|siehe|voir|véase|vedi|ver|zie)\s+\w+\s+\d+\)|[¹²³⁴⁵⁶⁷⁸⁹⁰]+|(?<=\w)[†‡]|(?<=[.!?])[†‡*]+(?=\s|$)")
 _MAY_MARK = re.compile(r"[(\[¹²³⁴⁵⁶⁷⁸⁹⁰†‡*]|https?:|www\.")
-_REFUSAL = re.compile(
-    r"\b(?:as an? (?:ai|artificial|language)|language model|ai assistant|i(?:'m| am) (?:sorry|unable|not able)|i apologi[sz]e|my apologies|^sorry\b|^unfortunately\b|i (?:cannot|can not|can['’]t|won['’]t|must decline|am not able)|not be appropriate|against my guidelines|(?:be|was) harmful|be protected|different passage|anything else i can|(?:complete|process) th(?:is|e|at) (?:request|text)"
-    r"|tut mir leid|bedaure|sprachmodell|leider (?:kann|darf|ist)|ich (?:kann|darf) (?:diesen?|ihnen|dir|hier|dabei)|(?:nicht|nichts) (?:helfen|bearbeiten|verarbeiten|möglich)|nicht in der lage"
-    r"|désolée?s?|je ne (?:peux|puis|suis) pas|je regrette|malheureusement|modèle de langage|pas en mesure|vous aider|impossible de (?:traiter|répondre)"
-    r"|lo siento|lamento|lamentablemente|no (?:puedo|me es posible|soy capaz|estoy en)|modelo de lengua|procesar (?:la|esta|este)|ayudar (?:con|a)"
-    r"|mi dispiace|spiacente|non (?:posso|sono in grado|mi è possibile)|purtroppo|modello linguistico|aiutar(?:la|ti|e)"
-    r"|desculpe|sinto muito|não (?:posso|me é possível|consigo|sou capaz)|infelizmente|modelo de linguagem|ajudar (?:com|a|você)"
-    r"|het spijt|spijt me|helaas|ik (?:kan|mag) (?:deze|dit|u|je|hier)|(?:kan|mag) ik (?:u|je|hier|deze|dit)|taalmodel|niet (?:mee )?helpen|niet in staat|niet mogelijk)",
-    re.I,
-)
 _CLAUSE = re.compile(r"[^.!?…]*[.!?…]+[\"'”’»)\]]*(?=\s|$)|[^.!?…]+(?:[.!?…]+(?=\S))?|[.!?…]+")
 _WORD = re.compile(r"\w+")
 _PAGE = re.compile(r"\n\s*\d{1,4}\s*\n")
 _STOP = re.compile(r"[.!?][\"'”’»)\]]*\s*$")
 
-FEATURES = ("bias", "known_all", "known_part", "known_none", "language_same", "language_other", "language_unknown", "cue", "cue_short", "cue_in_passage", "marked", "marks_kept", "marks_dropped", "first", "last", "open_end", "cut_short", "passage_open", "hint", "hint_copies", "alone", "last_cut", "cut_open", "unknown_other", "verbatim", "reworded", "reworded_other", "kept_mark", "hint_own", "reworded_unknown")
+FEATURES = ("bias", "known_all", "known_part", "known_none", "language_same", "language_other", "language_unknown", "marked", "marks_kept", "marks_dropped", "first", "last", "open_end", "cut_short", "passage_open", "hint", "hint_copies", "alone", "last_cut", "cut_open", "verbatim", "reworded", "reworded_other", "kept_mark", "hint_own", "tiny", "short", "full", "alien_tiny", "alien_short", "alien_full", "alien_behind", "declines", "tells", "alien_declines", "alien_tells", "alien_tells_other")
 _AT = {f: i for i, f in enumerate(FEATURES)}
 
 
@@ -91,8 +91,17 @@ def _language(words: list[str], common: dict[str, frozenset[str]]) -> tuple[str
     return (next(k for k, v in sorted(votes.items()) if v == best) if best else None), votes
 
 
-def describe(raw: str | None, cleaned: str | None, instruct: str | None, common: dict[str, frozenset[str]]) -> tuple[np.ndarray, list[int]]:
-    """(feature rows, words) of the clauses of a response: those of the cleaned text, then those of the hint."""
+Weights = dict[str, float]
+
+
+def _weight(words: list[str], weights: Weights) -> float:
+    """The log of how much likelier the words of a clause are in a declined answer; 0 for unknown words."""
+    return sum(weights.get(w, 0.0) for w in words) + sum(weights.get(f"{a} {b}", 0.0) for a, b in zip(words, words[1:], strict=False))
+
+
+def describe(raw: str | None, cleaned: str | None, instruct: str | None, common: dict[str, frozenset[str]], weights: Weights | None = None) -> tuple[np.ndarray, list[int]]:
+    """(feature rows, [clauses of the cleaned text, words of each clause]) of a response: the clauses of the
+    cleaned text, then those of the hint.  An alien clause holds few words of the passage."""
     raw, cleaned, instruct = raw or "", cleaned or "", instruct or ""
     plain = _unmarked(_PAGE.sub("\n", raw) if "\n" in raw else raw)
     raw_words = _WORD.findall(plain.lower())
@@ -100,12 +109,13 @@ def describe(raw: str | None, cleaned: str | None, instruct: str | None, common:
     raw_set = set(all_words) | set(raw_words)
     raw_text = " " + " ".join(raw_words) + " "
     raw_whole = " " + " ".join(all_words) + " "
-    language, votes = _language(raw_words, common)
+    language, _ = _language(raw_words, common)
     marks, kept = len(_marks(raw)), len(_marks(cleaned))
     own = clauses(cleaned)
     cleaned_words = _WORD.findall(_unmarked(cleaned).lower())
     short = len(raw_words) - len(cleaned_words) >= 4 and len(cleaned_words) < 0.85 * len(raw_words)
     open_passage = not _STOP.search(plain.strip())
+    size = "tiny" if len(cleaned_words) < 0.4 * len(raw_words) else "short" if len(cleaned_words) < 0.75 * len(raw_words) else "full"
 
     def inside(clause: str, words: list[str]) -> bool:  # the last word may be cut
         if " " + " ".join(words) in raw_whole:
@@ -116,73 +126,68 @@ def describe(raw: str | None, cleaned: str | None, instruct: str | None, common:
     spoken_words = [_WORD.findall(c.lower()) for c in own]
     verbatims = [inside(c, w) for c, w in zip(own, spoken_words, strict=True)]
     pooled = [x for w, v in zip(spoken_words, verbatims, strict=True) if not v for x in w]
-    pooled_language = _language(pooled, common)
+    spoken, own_votes = _language(pooled, common)
+    best = max(own_votes.values(), default=0)
+    same = language is None or spoken is None or own_votes.get(language, 0) == best
+    heard = "language_unknown" if language is None or best < 2 else "language_same" if same else "language_other"
     rows, sizes = [], []
     for i, clause in enumerate([*own, *clauses(instruct)]):
         hint = i >= len(own)
         words = _WORD.findall(clause.lower()) if hint else spoken_words[i]
-        x = np.zeros(len(FEATURES), np.float32)
-        x[_AT["bias"]] = 1
         known = sum(w in raw_set for w in words) / max(1, len(words))
-        x[_AT["known_all" if known >= 0.9 else "known_part" if known >= 0.5 else "known_none"]] = 1
         verbatim = inside(clause, words) if hint else verbatims[i]
-        if hint or verbatim:
-            x[_AT["language_unknown" if hint else "language_same"]] = 1
-        else:  # clauses that are not the passage's are heard together
-            spoken, own_votes = pooled_language
-            best = max(own_votes.values(), default=0)
-            same = language is None or spoken is None or own_votes.get(language, 0) == best
-            x[_AT["language_unknown" if language is None or best < 2 else "language_same" if same else "language_other"]] = 1
-        x[_AT["verbatim" if verbatim else "reworded"]] = 1
-        x[_AT["reworded_other"]] = not verbatim and x[_AT["language_other"]] > 0
-        if not verbatim and _REFUSAL.search(clause):
-            x[_AT["cue_in_passage" if " ".join(words) in raw_text else "cue"]] = 1
-            x[_AT["cue_short"]] = len(cleaned_words) < 45 and not hint and " ".join(words) not in raw_text
-        x[_AT["marked"]] = bool(_marks(clause))
-        if marks:
-            x[_AT["marks_kept" if kept * 2 > marks else "marks_dropped"]] = 1
-        x[_AT["kept_mark"]] = x[_AT["marked"]] and x[_AT["marks_kept"]]
+        on = {"bias", "known_all" if known >= 0.9 else "known_part" if known >= 0.5 else "known_none", "verbatim" if verbatim else "reworded"}
+        on.add("language_unknown" if hint else "language_same" if verbatim else heard)  # clauses that are not the passage's are heard together
+        other = not verbatim and "language_other" in on
         last = i == len(own) - 1
-        x[_AT["first"]], x[_AT["last"]] = i == 0, last
-        x[_AT["open_end"]] = not _STOP.search(clause)
-        x[_AT["cut_short"]], x[_AT["passage_open"]] = short and not hint, open_passage
-        x[_AT["last_cut"]] = last and short
-        x[_AT["cut_open"]] = last and short and not _STOP.search(clause)
-        x[_AT["hint"]] = hint
-        if hint and len(words) >= 4:
+        if marks:
+            on.add("marks_kept" if kept * 2 > marks else "marks_dropped")
+        if _marks(clause):
+            on |= {"marked", "kept_mark"} if "marks_kept" in on else {"marked"}
+        on |= {name for name, yes in (("first", i == 0), ("last", last), ("open_end", not _STOP.search(clause)), ("passage_open", open_passage), ("reworded_other", other)) if yes}
+        if hint:
             grams = [" " + " ".join(words[j : j + 4]) + " " for j in range(len(words) - 3)]
-            x[_AT["hint_copies"]] = sum(g in raw_text or g in raw_whole for g in grams) >= 0.6 * len(grams)
-        x[_AT["hint_own"]] = hint and not x[_AT["hint_copies"]]
-        x[_AT["alone"]] = len(own) == 1 and not hint
-        x[_AT["reworded_unknown"]] = x[_AT["reworded"]] and x[_AT["known_none"]] and not x[_AT["cue"]]
-        x[_AT["unknown_other"]] = x[_AT["known_none"]] and not x[_AT["cue"]]
+            copies = bool(grams) and sum(g in raw_text or g in raw_whole for g in grams) >= 0.6 * len(grams)
+            on |= {"hint", "hint_copies" if copies else "hint_own"}
+        else:
+            on |= {size, *(["cut_short"] if short else []), *(["alone"] if len(own) == 1 else [])}
+            if last and short:
+                on |= {"last_cut", *(["cut_open"] if not _STOP.search(clause) else [])}
+            alien = not verbatim and "known_none" in on
+            if alien:
+                on |= {f"alien_{size}", *(["alien_behind"] if any(verbatims[:i]) else [])}
+            if weights and not verbatim:
+                w = _weight(words, weights)
+                on |= {"declines", *(["alien_declines"] if alien else [])} if w > 3 else {"tells", *(["alien_tells"] if alien else []), *(["alien_tells_other"] if alien and other else [])} if w < -3 else set()
+        x = np.zeros(len(FEATURES), np.float32)
+        x[[_AT[f] for f in on]] = 1
         rows.append(x)
         sizes.append(len(words))
     return np.array(rows, np.float32).reshape(-1, len(FEATURES)), [len(own), *sizes]
 
 
 def weak_tags(x: np.ndarray) -> list[int]:
-    """The tag of each clause by the labelling functions, -1 where they are not sure."""
-    on = lambda r, f: r[_AT[f]] > 0
+    """The tag of each clause by the labelling functions, -1 where they are not sure; they see structure and no words."""
     out = []
-    refused = any(on(r, "cue") and not on(r, "hint") for r in x)
+    own = [r for r in x if not r[_AT["hint"]]]
+    declined = bool(own) and all(r[_AT["alien_tiny"]] for r in own)
     for r in x:
-        if on(r, "hint"):
-            out.append(TAGS.index("echo") if on(r, "hint_copies") else 0)
-        elif on(r, "cue") or (refused and on(r, "cue_short")):
-            out.append(TAGS.index("refusal"))
-        elif on(r, "reworded_other"):
-            out.append(TAGS.index("foreign"))
-        elif on(r, "known_none"):
-            out.append(TAGS.index("refusal") if refused else TAGS.index("foreign") if on(r, "reworded") else -1)
-        elif on(r, "marked") and on(r, "marks_kept"):
-            out.append(TAGS.index("echo"))
-        elif on(r, "last_cut"):
-            out.append(TAGS.index("unfinished"))
-        elif on(r, "verbatim") or (on(r, "known_all") and not on(r, "language_other")):
-            out.append(0)
+        on = lambda f: r[_AT[f]] > 0  # noqa: B023, E731
+        if on("hint"):
+            tag = "echo" if on("hint_copies") else "answer"
+        elif declined:
+            tag = "refusal"
+        elif on("known_none") and on("reworded"):
+            tag = "foreign" if on("language_other") and (on("alien_full") or on("alien_behind")) else None
+        elif on("kept_mark"):
+            tag = "echo"
+        elif on("last_cut"):
+            tag = "unfinished"
+        elif on("verbatim") or (on("known_all") and not on("language_other")):
+            tag = "answer"
         else:
-            out.append(-1)
+            tag = None
+        out.append(-1 if tag is None else TAGS.index(tag))
     return out
 
 
@@ -193,7 +198,7 @@ class Field:
         k = len(TAGS)
         self.emit, self.move = np.zeros((len(FEATURES), k)), np.zeros((k, k))
 
-    def fit(self, rows: list[np.ndarray], tags: list[list[int]], steps: int = 160, rate: float = 0.15, penalty: float = 1e-4) -> Field:
+    def fit(self, rows: list[np.ndarray], tags: list[list[int]], steps: int = 100, rate: float = 0.15, penalty: float = 1e-4) -> Field:
         """Adam on the mean log likelihood of the sequences."""
         n, k = len(rows), len(TAGS)
         if not n:
@@ -204,13 +209,14 @@ class Field:
         for i, (r, t) in enumerate(zip(rows, tags, strict=True)):
             x[i, : len(r)], y[i, : len(r)], mask[i, : len(r)] = r, t, 1
         hot = np.eye(k)[y] * mask[..., None]
+        flat = x.reshape(-1, len(FEATURES)).astype(float)
         want_move = np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:])
-        want_emit = np.einsum("ntf,ntk->fk", x, hot)
+        want_emit = flat.T @ hot.reshape(-1, k)
         state = [np.zeros_like(self.emit), np.zeros_like(self.emit), np.zeros_like(self.move), np.zeros_like(self.move)]
         for step in range(1, steps + 1):
-            unary = x @ self.emit
+            unary = (flat @ self.emit).reshape(n, width, k)
             node, pair = self._marginals(unary, mask)
-            grads = ((np.einsum("ntf,ntk->fk", x, node) - want_emit) / n + penalty * self.emit, (pair - want_move) / n + penalty * self.move)
+            grads = ((flat.T @ node.reshape(-1, k) - want_emit) / n + penalty * self.emit, (pair - want_move) / n + penalty * self.move)
             for w, g, (m, v) in ((self.emit, grads[0], state[:2]), (self.move, grads[1], state[2:])):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -291,62 +297,131 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple]:
 def _sampler(common: dict[str, frozenset[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, flat, tags = [], [], []
+            kinds, pairs = [], []
             for pair in _texts(b):
                 x, sizes = describe(*pair, common)
                 t = weak_tags(x)
-                if len(x) and min(t) >= 0:
+                if 0 < len(x) <= TRAIN_CLAUSES and min(t) >= 0:
                     kinds.append(defect(np.array(t), sizes) or "sound")
-                    flat.append(x[:TRAIN_CLAUSES].ravel())
-                    tags.append(t[:TRAIN_CLAUSES])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(flat, pa.list_(pa.float32())), pa.array(tags, pa.list_(pa.int32()))], ["kind", "x", "tags"])
+                    pairs.append(dict(zip(("raw_text", "cleaned_text", "instruct"), pair, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(pairs, pa.struct([(c, pa.string()) for c in ("raw_text", "cleaned_text", "instruct")]))], ["kind", "pair"])
 
     return run
 
 
-def train(pairs: DataFrame, common: dict[str, frozenset[str]], sample: int = SAMPLE) -> Field:
-    """The field trained on up to ``sample`` surely labelled pairs of each kind; only they reach the driver."""
-    labelled = pairs.mapInArrow(_sampler(common), "kind string, x array<float>, tags array<int>").distinct().withColumn("h", F.xxhash64("x", "tags"))
-    first = F.row_number().over(Window.partitionBy("kind").orderBy("h", "x"))
-    rows = labelled.withColumn("rank", first).where(F.col("rank") <= sample).orderBy("kind", "rank").select("x", "tags").collect()
-    return Field().fit([np.array(r.x, np.float32).reshape(-1, len(FEATURES)) for r in rows], [r.tags for r in rows])
+def weigh(clauses_by_kind: list[tuple[list[str], bool]]) -> Weights:
+    """Log odds of words and word pairs in clauses of declined answers (True) against all others, smoothed;
+    a word that neither side prefers twofold has no weight."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for words, declined in clauses_by_kind:
+        counts[declined].update({*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))})
+    sides = [max(1, sum(d == k for _, d in clauses_by_kind)) for k in (False, True)]
+    odds = {w: math.log((counts[1][w] + 0.5) / (sides[1] + 1)) - math.log((counts[0][w] + 0.5) / (sides[0] + 1)) for w in counts[0].keys() | counts[1].keys()}
+    return {w: v for w, v in odds.items() if abs(v) > math.log(2)}
+
+
+FOLDS = 4
+
+
+def fit(pairs: list[tuple[str | None, str | None, str | None]], common: dict[str, frozenset[str]]) -> tuple[Field, Weights]:
+    """Field and weights of surely labelled pairs.
+
+    A pair is described with the weights of clauses of other folds, which are made by the
+    clause, so that no clause is weighed by itself; and once more without any weights.
+    """
+    read = [(p, describe(*p, common)) for p in pairs]
+    tagged = [(p, x, weak_tags(x)) for p, (x, _) in read]
+    spoken = [(_WORD.findall(c.lower()), TAGS[t] == "refusal") for p, x, tags in tagged for c, t, r in zip(clauses(p[1] or ""), tags, x, strict=False) if not r[_AT["hint"]]]
+    fold = lambda words: zlib.crc32(" ".join(words).encode()) % FOLDS
+    parts = [weigh([s for s in spoken if fold(s[0]) != k]) for k in range(FOLDS)]
+    rows, tags = [x for _, x, _ in tagged], [t for *_, t in tagged]
+    for p, x, t in tagged:
+        first = next(iter(clauses(p[1] or "")), "")
+        rows.append(describe(*p, common, parts[fold(_WORD.findall(first.lower()))])[0])
+        tags.append(t)
+    return Field().fit(rows, tags), weigh(spoken)
+
+
+def train(pairs: DataFrame, common: dict[str, frozenset[str]], sample: int = SAMPLE) -> tuple[Field, Weights]:
+    """Field and weights from up to ``sample`` surely labelled pairs of each kind; only they reach the driver."""
+    labelled = pairs.mapInArrow(_sampler(common), "kind string, pair struct<raw_text:string,cleaned_text:string,instruct:string>").distinct().withColumn("h", F.xxhash64("pair"))
+    first = F.row_number().over(Window.partitionBy("kind").orderBy("h", "pair"))
+    rows = labelled.withColumn("rank", first).where(F.col("rank") <= sample).orderBy("kind", "rank").select("pair").collect()
+    return fit([tuple(r.pair) for r in rows], common)
+
 
+def _spoken(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
 
-_DDL = "book_id bigint, chapter_index int, chunk_index int, defect string, answer_share double"
 
+def plainly_sound() -> Column:
+    """Whether a pair is sound beyond doubt: the answer is the passage word for word without its marks and page
+    numbers, holds no mark itself, and the hint shares no four words with the passage.
 
-def _tagger(field: Field, common: dict[str, frozenset[str]]):
+    Such pairs have answer clauses only; the field is asked about all others.
+    """
+    raw, cleaned, hint = F.coalesce("raw_text", F.lit("")), F.coalesce("cleaned_text", F.lit("")), _spoken(F.coalesce("instruct", F.lit("")))
+    mark = "(?U)" + _MARK.pattern
+    marked = raw.rlike(_MAY_MARK.pattern)
+    bare = F.when(raw.contains("\n"), F.regexp_replace(raw, _PAGE.pattern, "\n")).otherwise(raw)
+    plain = _spoken(F.when(marked, F.regexp_replace(bare, mark, " ")).otherwise(bare))
+    words = F.split(hint, " ")
+    grams = F.when(F.size(words) >= 4, F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i, 4), " ")))
+    copied = F.coalesce(F.exists(grams, lambda g: F.contains(plain, g) | F.contains(_spoken(raw), g)), F.lit(False))
+    return (plain != "") & (plain == _spoken(cleaned)) & ~(cleaned.rlike(_MAY_MARK.pattern) & cleaned.rlike(mark)) & ~copied
+
+
+_DDL = "book_id bigint, chapter_index int, chunk_index int, defect string, answer_share double, label string"
+
+
+def _tagger(field: Field, weights: Weights, common: dict[str, frozenset[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4000):
                 part = b.slice(at, 4000)
-                read = [describe(*pair, common) for pair in _texts(part)]
+                read = [describe(*pair, common, weights) for pair in _texts(part)]
                 tags = field.tag([x for x, _ in read])
                 found = [defect(t, s) for t, (_, s) in zip(tags, read, strict=True)]
+                labels = [weak_tags(x) for x, _ in read]
+                weak = [(defect(np.array(t), s) or "sound") if min(t, default=0) >= 0 else None for t, (_, s) in zip(labels, read, strict=True)]
                 share = [float(sum(n for k, n in zip(t[: s[0]], s[1:], strict=False) if k == 0) / max(1, sum(s[1 : s[0] + 1]))) for t, (_, s) in zip(tags, read, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("book_id"), part.column("chapter_index"), part.column("chunk_index"), pa.array(found, pa.string()), pa.array(share, pa.float64())], ["book_id", "chapter_index", "chunk_index", "defect", "answer_share"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in _KEY], pa.array(found, pa.string()), pa.array(share, pa.float64()), pa.array(weak, pa.string())], [*_KEY, "defect", "answer_share", "label"])
 
     return run
 
 
+_KEY = ("book_id", "chapter_index", "chunk_index")
+
+
+def _model(cleaned_chunks: DataFrame, common: dict[str, frozenset[str]], sample: int) -> tuple[Field, Weights]:
+    some = training_rows(cleaned_chunks, TRAIN_PAIRS, *_KEY)
+    few = F.pmod(F.xxhash64(*_KEY, F.lit(6)), F.lit(16)) == 0  # of the plainly sound pairs
+    return train(spread(some.select("raw_text", "cleaned_text", "instruct", *_KEY)).where(~plainly_sound() | few).select("raw_text", "cleaned_text", "instruct"), common, sample)
+
+
+def _tagged(cleaned_chunks: DataFrame, common_words: DataFrame, sample: int) -> DataFrame:
+    from tidemark.llm.quality import common_lists
+
+    common = common_lists(common_words)
+    field, weights = _model(cleaned_chunks, common, sample)
+    rows = spread(cleaned_chunks.select(*_KEY, "raw_text", "cleaned_text", "instruct")).where(~plainly_sound())
+    return rows.mapInArrow(_tagger(field, weights, common), _DDL)
+
+
 def pair_defects(cleaned_chunks: DataFrame, common_words: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(book_id, chapter_index, chunk_index, defect, answer_share) of every pair, defect NULL where it is sound.
+    """(book_id, chapter_index, chunk_index, defect, answer_share, label) of every pair, defect NULL where it is
+    sound; label is what the labelling functions alone say, NULL where they are not sure.
 
     Defects: empty, refusal, other_language, truncated, copied; one at most, in this order.  A
     NULL answer is empty, a NULL hint none, and with a NULL passage nothing in the answer is
     known.  Exact copies give one row; different answers under one key a row each.
     """
-    from tidemark.llm.quality import common_lists
-
-    common = common_lists(common_words)
-    some = training_rows(cleaned_chunks, TRAIN_PAIRS, "book_id", "chapter_index", "chunk_index")
-    field = train(spread(some.select("raw_text", "cleaned_text", "instruct")), common, sample)
-    rows = spread(cleaned_chunks.select("book_id", "chapter_index", "chunk_index", "raw_text", "cleaned_text", "instruct"))
-    return rows.mapInArrow(_tagger(field, common), _DDL).distinct()
+    sure = cleaned_chunks.where(plainly_sound()).select(*_KEY, F.lit(None).cast("string").alias("defect"), F.lit(1.0).alias("answer_share"), F.lit("sound").alias("label"))
+    return _tagged(cleaned_chunks, common_words, sample).unionByName(sure).distinct()
 
 
 def defective_pairs(cleaned_chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     """One row for each defective pair (query p6_found); of several answers under a key the defect first in DEFECTS."""
-    found = pair_defects(cleaned_chunks, common_words).where("defect IS NOT NULL")
+    found = _tagged(cleaned_chunks, common_words, SAMPLE).where("defect IS NOT NULL").select(*_KEY, "defect").distinct()
     rank = F.array_position(F.array(*map(F.lit, DEFECTS)), F.col("defect"))
     return found.groupBy("book_id", "chapter_index", "chunk_index").agg(F.min_by("defect", rank).alias("defect"))
