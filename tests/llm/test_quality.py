@@ -16,8 +16,8 @@ def test_trees_learn_and_calibrate():
 
 
 def test_statistics():
-    assert Q.statistics("", COMMON) == [0.0] * len(Q.FEATURES)
-    v = dict(zip(Q.FEATURES, Q.statistics("The cat was here.\nIt is on a mat,", COMMON), strict=True))
+    assert Q.statistics("", Q.Common(COMMON)) == [0.0] * len(Q.FEATURES)
+    v = dict(zip(Q.FEATURES, Q.statistics("The cat was here.\nIt is on a mat,", Q.Common(COMMON)), strict=True))
     assert v["punct_line_share"] == 1.0 and 0.5 < v["common_share"] < 0.9
     assert Q.passages("My Title\n\na b\n\n\nc", "my title") == ["a b", "c"] and Q.passages("x", None) == ["x"]
     assert Q.words_of("?! ;;") == 2 and Q.words_of("a - b") == 2
@@ -39,3 +39,15 @@ def test_chapters(spark):
 
 def test_holdout_is_sound():
     assert {k for _, k in HOLDOUT} == set(Q.KINDS) and len(HOLDOUT) == len({t for t, _ in HOLDOUT})
+
+
+def test_kinds_without_examples(spark):
+    """Lists with roman numbers and prose of a language without common words, of which no passage was trained on."""
+    prose = "Every cottage was on the hill. The baker of the village went to it and slept.\n\n" * 6
+    roman = "\n".join(f"{r}. The {a} Of The {b}" for r, a, b in zip("I II III IV V VI VII VIII".split(), "House River Bell Hill Road Mill Coast Barn".split(), "North South East West Moor Fen Dale Glen".split(), strict=True))
+    latin = "Lorem ipsum dolor sit amet, consectetur adipiscing elit. Sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris."
+    items = "\n".join(f"{i}. The House Of The Hill {i}" for i in range(1, 20))
+    texts = [prose + str(i) for i in range(40)] + [items + "\n- more" * i for i in range(12)] + [roman, latin]
+    chapters = spark.createDataFrame([(1, i, "T", t) for i, t in enumerate(texts)], "book_id bigint, chapter_index int, chapter_title string, text string")
+    words = spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws], "lang string, word string")
+    assert {(r.chapter_index, r.kind) for r in Q.not_prose(chapters, words).collect()} == {(i, "list") for i in range(40, 53)}
