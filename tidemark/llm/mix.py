@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.encode import encode
@@ -96,9 +96,8 @@ def plan_weights(sizes: dict[str, tuple[int, int]], targets: list[tuple[str, flo
 def sized_documents(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, source, n_tokens), source in one spelling; counted once and kept in the shared folder."""
     shared_dir(documents.sparkSession)
-    counts = encode(documents, vocabulary, counts=True)
-    named = documents.select("doc_id", source_name(F.col("source")).alias("source"))
-    return named.join(counts, "doc_id").checkpoint()
+    named = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text")
+    return encode(named, vocabulary, counts=True, keep=("source",)).checkpoint()
 
 
 def mix(documents: DataFrame, mix_targets: DataFrame, total: float | None = None, seed: int = 9, vocabulary: str | None = None, group: int = GROUP) -> DataFrame:
@@ -121,7 +120,7 @@ def _mix(docs: DataFrame, mix_targets: DataFrame, total: float | None, seed: int
     weights = plan_weights(sizes, wanted, total)
     spark = docs.sparkSession
     plan = spark.createDataFrame([(s, int(w + EPS), max(0.0, w - int(w + EPS)), math.ceil(sizes[s][0] / group)) for s, w in weights.items()], "source string, base int, pi double, buckets int")
-    rows = docs.where("n_tokens > 0").join(F.broadcast(plan), "source").withColumn("spread", F.xxhash64("doc_id", F.lit(seed)))
+    rows = docs.where("n_tokens > 0").join(small(plan), "source").withColumn("spread", F.xxhash64("doc_id", F.lit(seed)))
     columns = "doc_id bigint, source string, n_tokens bigint, base int, pi double, spread bigint"
     most = max((sizes[s][0] for s in weights), default=0)
     settled = None
@@ -150,7 +149,7 @@ def _mix(docs: DataFrame, mix_targets: DataFrame, total: float | None, seed: int
 def shares(mixed: DataFrame, mix_targets: DataFrame) -> DataFrame:
     """(source, target_share, documents, tokens, actual_share) of every target, reached or not."""
     got = mixed.groupBy("source").agg(F.sum("copies").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
-    whole = got.agg(F.sum("tokens").alias("whole"))
     named = mix_targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return named.join(got, "source", "left").join(F.broadcast(whole)).select("source", "target_share", "max_repeats", zero("documents"), zero("tokens"), (zero("tokens") / F.col("whole")).alias("actual_share"))
+    each = named.join(got, "source", "left").select("source", "target_share", "max_repeats", zero("documents"), zero("tokens"))
+    return each.withColumn("actual_share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))  # a row for each target

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.tables import small
+from tidemark.tables import BROADCAST_BYTES, estimated_bytes, scratch, small
 
 #: Words of a passage.
 WINDOW = 5
@@ -110,22 +110,48 @@ def _lines(documents: DataFrame, host: str):
 
 
 def line_frequency(documents: DataFrame, host: str = "source") -> DataFrame:
-    """(host, line_hash, documents): distinct documents of a host that hold a normalised line.
+    """(host, line_hash, documents): distinct documents of a host that hold a normalised line."""
+    return _frequency(_lines(documents, host))
 
-    Two partial aggregations and no group larger than the distinct documents of a line; a
-    line of a third of all documents is counted map-side before it travels.
-    """
-    once = _lines(documents, host).groupBy("host", "line_hash", "doc_id").count()
+
+def _frequency(lines: DataFrame) -> DataFrame:
+    """Two partial aggregations and no group larger than the distinct documents of a line; a
+    line of a third of all documents is counted map-side before it travels."""
+    once = lines.groupBy("host", "line_hash", "doc_id").count()
     return once.groupBy("host", "line_hash").agg(F.count("*").alias("documents"))
 
 
+def _kept_lines(documents: DataFrame, host: str) -> DataFrame:
+    """The hashed lines, worked out once and kept in the shared folder: counting and marking both read them."""
+    place = f"{scratch(documents.sparkSession, 'lines')}/rows"
+    _lines(documents, host).write.parquet(place)
+    return documents.sparkSession.read.parquet(place)
+
+
+#: Parts that the rows of one line are spread over where frequent lines are too many to be broadcast.
+SALT = 32
+
+
+def _meet(lines: DataFrame, often: DataFrame, how: str) -> DataFrame:
+    """Lines with the counts of the frequent ones, which are few rows, though each may stand in a third of all
+    documents: broadcast below the size limit, else joined with each line's rows spread over SALT parts."""
+    place = f"{scratch(lines.sparkSession, 'frequent')}/rows"
+    often.write.parquet(place)
+    few = lines.sparkSession.read.parquet(place)
+    if estimated_bytes(few) <= BROADCAST_BYTES:
+        return lines.join(F.broadcast(few), ["host", "line_hash"], how)
+    spread = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)))
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return spread.join(copies, ["host", "line_hash", "salt"], how).drop("salt")
+
+
 #: A line is frequent if more than this share of its host's documents hold it, and more than ``limit`` of them.
 FREQUENT_SHARE = 0.01
 
 
-def _frequent(documents: DataFrame, host: str, limit: int, share: float) -> DataFrame:
+def _frequent(lines: DataFrame, documents: DataFrame, host: str, limit: int, share: float) -> DataFrame:
     """(host, line_hash, documents) of the lines above the limit of their host, which grows with its documents."""
-    often = line_frequency(documents, host).where(F.col("documents") > limit)
+    often = _frequency(lines).where(F.col("documents") > limit)
     each = documents.where("text IS NOT NULL").select(_host(host).alias("host"), "doc_id").distinct().groupBy("host").agg(F.count("*").alias("of"))
     return often.join(small(each), "host").where(F.col("documents") > share * F.col("of")).drop("of")
 
@@ -136,7 +162,8 @@ def drop_frequent_lines(documents: DataFrame, host: str = "source", limit: int =
 
     Only hashes of frequent lines travel and come back to the texts.  A text without such
     lines stays as it is, line ends included; NULL texts stay."""
-    own = _lines(documents, host).select("doc_id", "host", "line_hash").distinct().join(_frequent(documents, host, limit, share), ["host", "line_hash"])
+    kept = _kept_lines(documents, host)
+    own = _meet(kept.select("doc_id", "host", "line_hash").distinct(), _frequent(kept, documents, host, limit, share), "inner")
     found = own.groupBy(F.col("doc_id").alias("_doc"), F.col("host").alias("_host")).agg(F.collect_set("line_hash").alias("often"))
     rows = documents.select("doc_id", _host(host).alias("host"), "text")
     both = rows.join(found, rows.doc_id.eqNullSafe(found["_doc"]) & (rows.host == found["_host"]), "left")
@@ -155,7 +182,7 @@ def depleted(documents: DataFrame, host: str = "source", limit: int = 3, keep: f
     """(doc_id, n_chars, kept_chars, rejected): characters left without lines that more than
     ``limit`` documents of the host and ``share`` of them hold; a document that keeps less than ``keep`` is rejected.
     Texts that are NULL or hold no line with a letter are not listed."""
-    lines = _lines(documents, host)
-    marked = lines.join(_frequent(documents, host, limit, share), ["host", "line_hash"], "left")
+    lines = _kept_lines(documents, host)
+    marked = _meet(lines, _frequent(lines, documents, host, limit, share), "left")
     sums = marked.groupBy("doc_id").agg(F.sum("n_chars").alias("n_chars"), F.coalesce(F.sum(F.when(F.col("documents").isNull(), F.col("n_chars"))), F.lit(0)).alias("kept_chars"))
     return sums.withColumn("rejected", F.col("kept_chars") < F.col("n_chars") * keep)

@@ -55,6 +55,24 @@ def _atoms(text: str, room: int, least: int = SENTENCE) -> list[tuple[int, int,
     return out
 
 
+def longest_run(text: str, atoms: list[tuple[int, int, int]]) -> int:
+    """Code points of the longest run without white space that was cut, by the chains of atoms with forced cuts between them."""
+    most, begin = 0, None
+    for start, end, strength in atoms:
+        begin = start if begin is None else begin
+        if strength != FORCED:
+            if start > begin:
+                most = max(most, len(text[begin:end].rstrip()))
+            begin = None
+    return most
+
+
+def cut_kind(text: str, limit: int, overlap: int) -> str:
+    """``forced`` when the text holds a run without white space longer than the limit, else ``natural``; by the atoms of the text."""
+    room = max(1, limit - max(0, min(overlap, limit // 2)))
+    return "forced" if longest_run(text, _atoms(text, room)) > limit else "natural"
+
+
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, bool]]:
     """(start, end, forced) of the pieces of a text over the limit.
 
@@ -102,7 +120,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in enumerate(d["text"]):
             key, limit = tuple(d[k][i] for k in keys), d["max_chars"][i]
             parts = split_text(text, limit, d["overlap_chars"][i] or 0)
-            cut = "forced" if re.search(rf"\S{{{limit + 1}}}", text) else "natural"
+            cut = cut_kind(text, limit, d["overlap_chars"][i] or 0)
             rows += [(*key, n, len(parts), s, e, forced, cut, text[s:e]) for n, (s, e, forced) in enumerate(parts)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)] if rows else [pa.array([], f.type) for f in _SCHEMA], names)
 
@@ -122,14 +140,14 @@ def oversized(chapters: DataFrame, chunks: DataFrame, books: DataFrame, size_lim
     exact copies of a chunk count once.  A kind of source without a limit has none.
     """
     limits = size_limits.groupBy("item_kind", _kind("source_kind").alias("source_kind")).agg(F.min("max_chars").alias("max_chars"), F.min("overlap_chars").alias("overlap_chars"))
-    least = size_limits.agg(F.min("max_chars").alias("least"))
+    least = size_limits.agg(F.min("max_chars")).first()[0]  # a table of fixed length
     book_kind = books.groupBy("book_id").agg(F.min(_kind("source_kind")).alias("source_kind"))
     n = F.length("text").alias("n")
-    long = lambda df: df.select("*", n).join(F.broadcast(least), F.col("n") > F.col("least"))
+    long = lambda df: df.select("*", n).where(F.col("n") > F.lit(least))
     chapter = long(chapters.select(F.lit("chapter").alias("item_kind"), "book_id", "chapter_index", F.lit(-1).alias("chunk_index"), "text"))
     chapter = chapter.join(small(book_kind), "book_id", "left").withColumn("source_kind", _kind("source_kind"))
     chunk = long(chunks.select(F.lit("chunk").alias("item_kind"), "book_id", "chapter_index", "chunk_index", "text", _kind("source_kind").alias("source_kind")))
-    items = chapter.unionByName(chunk).join(F.broadcast(limits), ["item_kind", "source_kind"]).where("n > max_chars")
+    items = chapter.unionByName(chunk).join(small(limits), ["item_kind", "source_kind"]).where("n > max_chars")
     keys = ["item_kind", "book_id", "chapter_index", "chunk_index"]
     return items.groupBy(*keys).agg(F.max(F.struct("n", "max_chars", "overlap_chars", "text")).alias("v")).select(*keys, "v.*")
 
