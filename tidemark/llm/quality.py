@@ -31,15 +31,16 @@ FEATURES = ("log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "pun
 _PASSAGE = re.compile(r"\n\s*\n")
 _TOKEN = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_ASCII_WORD = re.compile(r"[a-z]+")
 _ENDS = re.compile(r"[.!?…:;,][\"'”’»)\]]*$")
-_SENTENCE = re.compile(r"(?<=[^\W\d_][^\W\d_])[.!?…][\"'”’»)\]]*(?=\s|$)")
+_SENTENCE = re.compile(r"[.!?…](?<=[^\W\d_][^\W\d_].)[\"'”’»)\]]*(?=\s|$)")
 _ITEM = re.compile(r"\s*(?:[-*+•–]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxlc]{1,7}|[IVXLC]{1,7})[.)]|\d{1,4}(?=\s+[^\W\d_]))\s+\S")
 _NUMBER_END = re.compile(r"(?:[.\s]{3,}|,\s|\s)\d{1,4}$")
 _DELIMITER = re.compile(r"\s?\|\s?|;|\t|,(?=\S)|(?<=\S) {2,}(?=\S)")
 _ALNUM = re.compile(r"[^\W_]")
 _LETTER = re.compile(r"[^\W\d_]")
 _ROMAN = re.compile(r"^\s*(?:[ivxlc]{2,7}|[IVXLC]{2,7})\.\s", re.M)  # ends no sentence
-_WITH_DIGIT = re.compile(r"\S*\d\S*")
+_DIGIT, _CLOSE_COMMA = re.compile(r"\d"), re.compile(r",\S")
 #: Words of three letters and more without a vowel.
 _VOWELLESS = re.compile(r"(?<![^\W_])[^\W\d_aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüœ]{3,}(?![^\W\d_])")
 
@@ -59,7 +60,7 @@ def passages(text: str, title: str | None) -> list[str]:
 def words_of(passage: str) -> int:
     """Words as the share of prose counts them: tokens with a letter or digit, or all tokens if none has."""
     tokens = passage.split()
-    return sum(_ALNUM.search(t) is not None for t in tokens) or len(tokens)
+    return sum(t[0].isalnum() or t[-1].isalnum() or _ALNUM.search(t) is not None for t in tokens) or len(tokens)
 
 
 class Common:
@@ -87,13 +88,14 @@ def statistics(text: str, common: Common) -> list[float]:
     if not tokens:
         return [0.0] * len(FEATURES)
     low = text.lower()
-    words = _WORD.findall(low)
+    words = _WORD.findall(low) if not text.isascii() or "'" in low else _ASCII_WORD.findall(low)
     sizes = list(map(len, tokens))
     n, m, k, chars = len(tokens), max(1, len(words)), len(lines), sum(sizes)
     signs = Counter(text)
     digits = sum(k for ch, k in signs.items() if ch.isdigit())
     letters = sum(k for ch, k in signs.items() if ch.isalpha())
-    seps = [len(_DELIMITER.findall(x.lstrip())) for x in lines]
+    parted = signs["|"] or signs[";"] or signs["\t"] or "  " in text or (signs[","] and _CLOSE_COMMA.search(text))
+    seps = [len(_DELIMITER.findall(x.lstrip())) for x in lines] if parted else [0] * k
     mean_sep = sum(seps) / k
     spread = (sum((s - mean_sep) ** 2 for s in seps) / k) ** 0.5
     lengths = list(map(len, words))
@@ -112,7 +114,7 @@ def statistics(text: str, common: Common) -> list[float]:
         min(5.0, spread / (mean_sep + 0.25)),
         len(_VOWELLESS.findall(low)) / max(1, m - lengths.count(1) - lengths.count(2)),
         sizes.count(1) / n,
-        sum(_LETTER.search(t) is not None for t in _WITH_DIGIT.findall(text)) / n if digits else 0.0,
+        sum(not t.isalpha() and _DIGIT.search(t) is not None and _LETTER.search(t) is not None for t in tokens) / n if digits else 0.0,
         letters / chars,
         sum(map(str.isupper, [t[0] for t in tokens])) / n,
         sum(x > 20 for x in sizes) / n if max(sizes) > 20 else 0.0,
