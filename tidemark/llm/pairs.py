@@ -350,25 +350,30 @@ def train(pairs: DataFrame, common: dict[str, frozenset[str]], sample: int = SAM
     return fit([tuple(r.pair) for r in rows], common)
 
 
-def _spoken(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
+#: What lies between words, as far as it is dropped before texts are compared; anything else tells them apart.
+_BETWEEN = " \t\r\n\u00a0.,;:!?-–—…'\"()[]{}«»“”„‘’¿¡"
+
+
+def _squeezed(c: Column) -> Column:
+    return F.translate(c, _BETWEEN, "")
 
 
 def plainly_sound() -> Column:
-    """Whether a pair is sound beyond doubt: the answer is the passage word for word without its marks and page
+    """Whether a pair is sound beyond doubt: the answer is the passage letter by letter without its marks and page
     numbers, holds no mark itself, and the hint shares no four words with the passage.
 
     Such pairs have answer clauses only; the field is asked about all others.
     """
-    raw, cleaned, hint = F.coalesce("raw_text", F.lit("")), F.coalesce("cleaned_text", F.lit("")), _spoken(F.coalesce("instruct", F.lit("")))
-    mark = "(?U)" + _MARK.pattern
-    marked = raw.rlike(_MAY_MARK.pattern)
+    raw, cleaned, hint = F.coalesce("raw_text", F.lit("")), F.coalesce("cleaned_text", F.lit("")), F.coalesce("instruct", F.lit(""))
+    may, mark = _MAY_MARK.pattern, _MARK.pattern
     bare = F.when(raw.contains("\n"), F.regexp_replace(raw, _PAGE.pattern, "\n")).otherwise(raw)
-    plain = _spoken(F.when(marked, F.regexp_replace(bare, mark, " ")).otherwise(bare))
-    words = F.split(hint, " ")
-    grams = F.when(F.size(words) >= 4, F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i, 4), " ")))
-    copied = F.coalesce(F.exists(grams, lambda g: F.contains(plain, g) | F.contains(_spoken(raw), g)), F.lit(False))
-    return (plain != "") & (plain == _spoken(cleaned)) & ~(cleaned.rlike(_MAY_MARK.pattern) & cleaned.rlike(mark)) & ~copied
+    plain = _squeezed(F.when(raw.rlike(may), F.regexp_replace(bare, mark, " ")).otherwise(bare))
+    words = F.split(F.lower(hint), r"[^\p{L}\p{N}_]+")
+    grams = F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i, 4), ""))
+    texts = F.array(F.lower(plain), F.lower(_squeezed(raw)))  # worked out once and not for every gram
+    copied = F.when((F.length(hint) >= 7) & (F.size(words) >= 4), F.exists(texts, lambda t: F.exists(grams, lambda g: F.contains(t, _squeezed(g))))).otherwise(False)
+    marked = F.when(cleaned.rlike(may), cleaned.rlike(mark)).otherwise(False)
+    return (plain != "") & (plain == _squeezed(cleaned)) & ~marked & ~copied
 
 
 _DDL = "book_id bigint, chapter_index int, chunk_index int, defect string, answer_share double, label string"
