@@ -39,10 +39,9 @@ def test_defects(spark):
     assert P.defective_pairs(df.limit(0), words.limit(0)).count() == 0
 
 
-def test_plainly_sound(spark):
+def test_plainly_sound():
     rows = [(RAW, SOUND, None, True), (RAW, SOUND, "Calm and slow, with a smile.", True), (RAW, RAW, None, False), (SOUND, SOUND, "", True), (SOUND, SOUND, "the night was on the roof", False), (SOUND.replace("house.", "house.¹"), SOUND.replace("house.", "house.¹"), None, False), (None, None, None, False), ("", "", "", False), ("...", "...", None, False)]
-    df = spark.createDataFrame([r[:3] for r in rows], "raw_text string, cleaned_text string, instruct string")
-    assert [r[0] for r in df.select(P.plainly_sound()).collect()] == [r[3] for r in rows]
+    assert [P.plainly_sound(*r[:3]) for r in rows] == [r[3] for r in rows]
 
 
 def test_weights():

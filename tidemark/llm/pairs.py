@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.tables import spread, training_rows
@@ -298,7 +298,9 @@ def _sampler(common: dict[str, frozenset[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kinds, pairs = [], []
-            for pair in _texts(b):
+            for n, pair in enumerate(_texts(b)):
+                if n % 16 and plainly_sound(*pair):  # some of the plainly sound ones are enough
+                    continue
                 x, sizes = describe(*pair, common)
                 t = weak_tags(x)
                 if 0 < len(x) <= TRAIN_CLAUSES and min(t) >= 0:
@@ -351,46 +353,61 @@ def train(pairs: DataFrame, common: dict[str, frozenset[str]], sample: int = SAM
 
 
 #: What lies between words, as far as it is dropped before texts are compared; anything else tells them apart.
-_BETWEEN = " \t\r\n\u00a0.,;:!?-–—…'\"()[]{}«»“”„‘’¿¡"
+_BETWEEN = dict.fromkeys(map(ord, " \t\r\n\u00a0.,;:!?-–—…'\"()[]{}«»“”„‘’¿¡"))
 
 
-def _squeezed(c: Column) -> Column:
-    return F.translate(c, _BETWEEN, "")
+@lru_cache(maxsize=4096)
+def _runs(hint: str) -> tuple[str, ...]:
+    """The runs of four words of a hint, without what lies between the words."""
+    words = _WORD.findall(hint.lower())
+    return tuple("".join(words[i : i + 4]).translate(_BETWEEN) for i in range(len(words) - 3))
 
 
-def plainly_sound() -> Column:
+def plainly_sound(raw: str | None, cleaned: str | None, instruct: str | None) -> bool:
     """Whether a pair is sound beyond doubt: the answer is the passage letter by letter without its marks and page
     numbers, holds no mark itself, and the hint shares no four words with the passage.
 
     Such pairs have answer clauses only; the field is asked about all others.
     """
-    raw, cleaned, hint = F.coalesce("raw_text", F.lit("")), F.coalesce("cleaned_text", F.lit("")), F.coalesce("instruct", F.lit(""))
-    may, mark = _MAY_MARK.pattern, _MARK.pattern
-    bare = F.when(raw.contains("\n"), F.regexp_replace(raw, _PAGE.pattern, "\n")).otherwise(raw)
-    plain = _squeezed(F.when(raw.rlike(may), F.regexp_replace(bare, mark, " ")).otherwise(bare))
-    words = F.split(F.lower(hint), r"[^\p{L}\p{N}_]+")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i, 4), ""))
-    texts = F.array(F.lower(plain), F.lower(_squeezed(raw)))  # worked out once and not for every gram
-    copied = F.when((F.length(hint) >= 7) & (F.size(words) >= 4), F.exists(texts, lambda t: F.exists(grams, lambda g: F.contains(t, _squeezed(g))))).otherwise(False)
-    marked = F.when(cleaned.rlike(may), cleaned.rlike(mark)).otherwise(False)
-    return (plain != "") & (plain == _squeezed(cleaned)) & ~marked & ~copied
+    if not raw or not cleaned:
+        return False
+    if raw != cleaned or _MAY_MARK.search(raw) or "\n" in raw:
+        if _marks(cleaned):
+            return False
+        bare = _unmarked(_PAGE.sub("\n", raw) if "\n" in raw else raw)
+        if bare != cleaned and bare.translate(_BETWEEN) != cleaned.translate(_BETWEEN):
+            return False
+    else:
+        bare = raw
+    runs = _runs(instruct) if instruct else ()
+    if runs:
+        whole = [t.lower().translate(_BETWEEN) for t in {raw, bare}]
+        if any(r in t for t in whole for r in runs):
+            return False
+    return _WORD.search(cleaned) is not None
 
 
 _DDL = "book_id bigint, chapter_index int, chunk_index int, defect string, answer_share double, label string"
 
 
-def _tagger(field: Field, weights: Weights, common: dict[str, frozenset[str]]):
+def _tagger(field: Field, weights: Weights, common: dict[str, frozenset[str]], sound: bool):
+    """``sound``: whether plainly sound pairs are listed too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4000):
-                part = b.slice(at, 4000)
-                read = [describe(*pair, common, weights) for pair in _texts(part)]
+                part, pairs = b.slice(at, 4000), list(_texts(b.slice(at, 4000)))
+                doubtful = [i for i, p in enumerate(pairs) if not plainly_sound(*p)]
+                read = [describe(*pairs[i], common, weights) for i in doubtful]
                 tags = field.tag([x for x, _ in read])
-                found = [defect(t, s) for t, (_, s) in zip(tags, read, strict=True)]
                 labels = [weak_tags(x) for x, _ in read]
                 weak = [(defect(np.array(t), s) or "sound") if min(t, default=0) >= 0 else None for t, (_, s) in zip(labels, read, strict=True)]
                 share = [float(sum(n for k, n in zip(t[: s[0]], s[1:], strict=False) if k == 0) / max(1, sum(s[1 : s[0] + 1]))) for t, (_, s) in zip(tags, read, strict=True)]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in _KEY], pa.array(found, pa.string()), pa.array(share, pa.float64()), pa.array(weak, pa.string())], [*_KEY, "defect", "answer_share", "label"])
+                rows = dict(zip(doubtful, zip([defect(t, s) for t, (_, s) in zip(tags, read, strict=True)], share, weak, strict=True), strict=True))
+                shown = list(range(len(pairs))) if sound else doubtful
+                cols = list(zip(*(rows.get(i, (None, 1.0, "sound")) for i in shown), strict=True)) if shown else [(), (), ()]
+                index = pa.array(shown, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(index) for c in _KEY], *[pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.string()), strict=True)]], [*_KEY, "defect", "answer_share", "label"])
 
     return run
 
@@ -400,17 +417,16 @@ _KEY = ("book_id", "chapter_index", "chunk_index")
 
 def _model(cleaned_chunks: DataFrame, common: dict[str, frozenset[str]], sample: int) -> tuple[Field, Weights]:
     some = training_rows(cleaned_chunks, TRAIN_PAIRS, *_KEY)
-    few = F.pmod(F.xxhash64(*_KEY, F.lit(6)), F.lit(16)) == 0  # of the plainly sound pairs
-    return train(spread(some.select("raw_text", "cleaned_text", "instruct", *_KEY)).where(~plainly_sound() | few).select("raw_text", "cleaned_text", "instruct"), common, sample)
+    return train(spread(some.select("raw_text", "cleaned_text", "instruct")), common, sample)
 
 
-def _tagged(cleaned_chunks: DataFrame, common_words: DataFrame, sample: int) -> DataFrame:
+def _tagged(cleaned_chunks: DataFrame, common_words: DataFrame, sample: int, sound: bool) -> DataFrame:
     from tidemark.llm.quality import common_lists
 
     common = common_lists(common_words)
     field, weights = _model(cleaned_chunks, common, sample)
-    rows = spread(cleaned_chunks.select(*_KEY, "raw_text", "cleaned_text", "instruct")).where(~plainly_sound())
-    return rows.mapInArrow(_tagger(field, weights, common), _DDL)
+    rows = spread(cleaned_chunks.select(*_KEY, "raw_text", "cleaned_text", "instruct"))
+    return rows.mapInArrow(_tagger(field, weights, common, sound), _DDL)
 
 
 def pair_defects(cleaned_chunks: DataFrame, common_words: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -421,12 +437,11 @@ def pair_defects(cleaned_chunks: DataFrame, common_words: DataFrame, sample: int
     NULL answer is empty, a NULL hint none, and with a NULL passage nothing in the answer is
     known.  Exact copies give one row; different answers under one key a row each.
     """
-    sure = cleaned_chunks.where(plainly_sound()).select(*_KEY, F.lit(None).cast("string").alias("defect"), F.lit(1.0).alias("answer_share"), F.lit("sound").alias("label"))
-    return _tagged(cleaned_chunks, common_words, sample).unionByName(sure).distinct()
+    return _tagged(cleaned_chunks, common_words, sample, True).distinct()
 
 
 def defective_pairs(cleaned_chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     """One row for each defective pair (query p6_found); of several answers under a key the defect first in DEFECTS."""
-    found = _tagged(cleaned_chunks, common_words, SAMPLE).where("defect IS NOT NULL").select(*_KEY, "defect").distinct()
+    found = _tagged(cleaned_chunks, common_words, SAMPLE, False).where("defect IS NOT NULL").select(*_KEY, "defect").distinct()
     rank = F.array_position(F.array(*map(F.lit, DEFECTS)), F.col("defect"))
     return found.groupBy("book_id", "chapter_index", "chunk_index").agg(F.min_by("defect", rank).alias("defect"))
