@@ -45,3 +45,23 @@ def test_zone_minutes(spark):
     zones = spark.createDataFrame([(1, 1, 600), (1, 2, 300)], "activity_id bigint, zone int, secs bigint")
     out = {r.activity_id: tuple(r[1:]) for r in A.zone_minutes(rows, zones).collect()}
     assert out == {1: (10.0, 5.0, 0.0, 0.0, 0.0), 2: (None,) * 5}
+
+
+def test_service_rows(spark):
+    rows = spark.createDataFrame([(1, 1, "n", "running", 5000.0, 1500.0, 2.5, 0.0, 150.0, 170.0, 3.456, None, "BASE")], "user_id bigint, activity_id bigint, name string, type_key string, distance_m double, moving_s double, avg_speed_mps double, max_speed_mps double, avg_hr double, max_hr double, aerobic_te double, anaerobic_te double, te_label string")
+    r = A.detail_columns(rows).first()
+    assert (r.distance_km, r.moving_min, r.avg_pace, r.max_pace, r.aerobic_te, r.anaerobic_te) == (5.0, 25.0, 6.67, None, 3.46, 0.0)
+    people = spark.createDataFrame([(1, 70550.0, 180.0, None, 50.0, 0.35, 170, None, ["MONDAY"])], "user_id bigint, weight_g double, height double, birth_date date, vo2max double, threshold_speed double, threshold_rate int, training_days array<string>, long_days array<string>")
+    p = A.profiles(people).first()
+    assert (p.weight_kg, p.threshold_speed, p.training_days, p.long_days) == (70.55, 5.83, [], ["MONDAY"])
+    assert tuple(A.race_predictions(spark.createDataFrame([(1, 1500, None, 5400, 12600)], "user_id int, s_5k int, s_10k int, s_half int, s_full int")).first())[1:] == (25.0, 0.0, 1.5, 3.5)
+
+
+def test_choices_of_days(spark):
+    days = spark.createDataFrame([("w", i, t) for i, t in enumerate([30.0, 20.0, None, 31.0, 18.0, 30.0, 25.0])] + [("v", 0, None)], "week string, i int, t double")
+    assert {(r.week, r.i) for r in A.parted_by_heat(days, ["week"], "t", "i").where("rest").collect()} == {("w", 3), ("w", 0), ("v", 0)}
+    assert {(r.week, r.day) for r in A.coolest_day(days, ["week"], "t", "i").collect()} == {("w", 4), ("v", 0)} and {(r.week, r.day) for r in A.coolest_day(days, ["week"], "t", "i", 3).collect()} == {("w", 3), ("v", 0)}
+    lists = spark.createDataFrame([(1, 2, ["c"]), (1, 1, ["a", "b"]), (1, 3, None)], "k int, o int, x array<string>")
+    assert A.joined_lists(lists, ["k"], "o", "x").first().x == ["a", "b", "c"]
+    weeks = spark.createDataFrame([(1, 50.0, "build"), (1, 90.0, "race"), (2, 30.0, "race"), (3, None, "race")], "u int, m double, kind string")
+    assert {(r.u, r.peak) for r in A.peak_minutes(weeks, "u", "m", weeks.kind == "build").collect()} == {(1, 50.0), (2, 30.0), (3, 0.0)}

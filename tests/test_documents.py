@@ -78,3 +78,23 @@ def test_markdown_of_short_sections(spark):
     got = {r.id: (r.section, r.title, r.text.split()) for r in df.collect()}
     assert set(got) == {1, 3, None} and got[3] == (1, "One", ["w"] * 30)
     assert got[1] == (0, None, ["One", *["w"] * 20, "Two", *["v"] * 20]) and got[None][2] == ["u"] * 20 + ["One"] + ["w"] * 20
+
+
+def test_selection_rendering_and_splits(spark):
+    from tidemark.operators import documents as D
+
+    chapters = spark.createDataFrame([(b, i, "Contents" if i == 0 else "C", "a b c") for b in (1, 2, 3) for i in range(3)], "book_id bigint, chapter_index int, chapter_title string, text string")
+    said = lambda rows, name: spark.createDataFrame(rows, f"book_id bigint, chapter_index int, {name} boolean")
+    kept = D.select_chapters(chapters, said([(1, 0, True)], "x"), said([(2, 1, True), (2, 2, False)], "keep"), said([(3, 2, True)], "narratively_important"), said([(b, i, True) for b in (1, 2, 3) for i in range(3)], "keep"))
+    assert sorted((r.book_id, r.chapter_index) for r in kept.collect()) == [(1, 0), (2, 1), (3, 1), (3, 2)]
+    assert sorted(r.chapter_index for r in D.select_chapters(chapters, None, None, said([(3, 2, True)], "narratively_important"), said([(3, 1, True)], "keep"), most=2).collect()) == [2]
+    block = "book_id bigint, chapter_index int, block_pos int, kind string, text string, note_number string, block_id string, parent_id string"
+    blocks = spark.createDataFrame([(1, 0, 0, "heading", " T ", None, "b1", None), (1, 0, 1, "paragraph", "Said.", None, "b2", None), (1, 0, 2, "footnote", "A note.", "4", "fn:4", "b2"), (1, 0, 3, "heading", "References", None, "b3", None), (1, 0, 4, "paragraph", "x", None, "b4", None), (1, 0, 5, "heading", "Appendix A", None, "b5", None), (1, 0, 5, "heading", "Appendix A", None, "b5", None), (1, 0, 6, "paragraph", None, None, "b6", None)], block)
+    assert D.render_blocks(blocks).first().text == "T\n\nSaid.\n\nReferences\n\nx\n\nAppendix A\n\nNotes\n4\n. A note."
+    assert [(r.section_index, r.text) for r in D.number_sections(blocks).orderBy("section_index").collect()] == [(0, "T"), (1, "Said."), (2, "A note."), (3, "Appendix A")]
+    units = spark.createDataFrame([(1, 0, 0, "One two. " * 12, "calm"), (1, 0, 1, " short ", None), (1, 0, 2, "  ", "x")], "book_id bigint, chapter_index int, chunk_index int, text string, instruct string")
+    split = D.further_split(units, "text", 60, 40, ["book_id", "chapter_index"], ["chunk_index"]).orderBy("chunk_index").collect()
+    assert [r.chunk_index for r in split] == list(range(len(split))) and {r.instruct for r in split[:-1]} == {"calm"} and split[-1].instruct is None and len(split) > 2
+    assert D.speak_units(units, "text", 60, 40, ["book_id", "chapter_index"], ["chunk_index"]).where("text = 'short'").count() == 1
+    lines = spark.createDataFrame([(1, p, t) for p, t in enumerate(["The Long Walk 12", "a b", "THE LONG WALK | 13", "Chapter 1", "On the way 9"])], "doc int, pos int, line string")
+    assert [r.line for r in D.drop_running_headers(lines, "doc").orderBy("pos").collect()] == ["a b", "Chapter 1", "On the way 9"]

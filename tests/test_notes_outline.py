@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import records as R
 from tidemark.operators import outline as O
-from tidemark.operators.notes import citation_only, document_blocks, place_notes, place_notes_udf, plain_blocks
+from tidemark.functions.citations import citation_only
+from tidemark.operators.notes import document_blocks, place_notes, place_notes_udf, plain_blocks
 from tidemark.sources.pages import html_blocks, page_blocks
 
 FLAT = "1.1 Opening\nThe word3 stands here\n1\nand goes on. Then it ends (see note 2).\n\nNext one.\n\nNotes\nBefore.\n1. He changed his mind in the end.\n2. Longer prose about what happened then.\n3\n. Glued note of prose is here.\n9. Never called by anyone at all.\n9. See Marx, Capital (Oxford University Press), p. 3\nReferences\nx\n"

@@ -43,3 +43,13 @@ def months_around(as_of: Column, ahead: int, back: int = 2) -> Column:
 def strict_day(text: Column) -> Column:
     """A day written yyyy-MM-dd, NULL for anything else."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
+
+
+def contains_day(start: Column, end: Column, day: Column) -> Column:
+    """Whether a day lies in an interval of days, both ends included; false for NULL."""
+    return F.coalesce(day.between(start, end), F.lit(False))
+
+
+def first_recovery(start: Column, end: Column, event: Column, days: int = 7) -> Column:
+    """Whether a week is the first one after a past event: it ends after the event and begins within ``days`` of it."""
+    return F.coalesce((event < end) & (F.datediff(start, event) <= days), F.lit(False))

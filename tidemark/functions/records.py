@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.units import clock
 
 # Types of records, and label tokens that are kept, dropped and ranked.
-TYPES = {3: ("5K", "seconds", 0), 4: ("10K", "seconds", 1), 5: ("Half Marathon", "seconds", 3), 6: ("Marathon", "seconds", 4), 7: ("Longest Run", "metres", 5)}
+TYPES = {3: ("5K", 0), 4: ("10K", 1), 5: ("Half Marathon", 3), 6: ("Marathon", 4), 7: ("Longest Run", 5)}
 KEPT = ("5k", "10k", "15k", "half", "marathon", "longest run")
 DROPPED = ("1k", "1 km", "3k", "3 km", "20k", "20 km", "1 mile", "1-mile", "1mi")
 RANKS = (("marathon", 4), ("longest", 5), ("half", 3), ("10k", 1), ("15k", 2), ("5k", 0))
@@ -20,7 +20,7 @@ def has_token(label: Column, *tokens: str) -> Column:
 
 
 def record_label(type_id: Column, *names: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for k, (name, _, _) in TYPES.items() for x in (k, name)])
+    known = F.create_map(*[F.lit(x) for k, (name, _) in TYPES.items() for x in (k, name)])
     given = [F.nullif(F.trim(n), F.lit("")) for n in names]
     return F.coalesce(F.try_element_at(known, type_id), *given, type_id.cast("string"), F.lit("PR"))
 
@@ -40,7 +40,7 @@ def record_value(value: Column, type_id: Column, label: Column) -> Column:
 
 def record_rank(type_id: Column, label: Column) -> Column:
     rank = F.when(F.lit(False), 0)
-    for k, (_, _, r) in TYPES.items():
+    for k, (_, r) in TYPES.items():
         rank = rank.when(type_id == k, r)
     for token, r in RANKS:
         rank = rank.when(has_token(label, token), r)
@@ -84,7 +84,7 @@ def guarded_hint(reply: Column, narration: Column) -> Column:
 def error_kind(message: Column) -> Column:
     """Kind of a logged error: permanent before transient, memory apart."""
     m = F.lower(message)
-    return F.when(m.rlike(r"out of memory|oom"), "memory").when(m.rlike(r"not found|404|401|403|forbidden|unauthori[sz]ed|gated|invalid"), "permanent").when(m.rlike(r"connection|timed? ?out|temporar|reset by peer|unreachable|502|503|504"), "transient").otherwise("other")
+    return F.when(m.rlike(r"out of memory|\boom\b"), "memory").when(m.rlike(r"not found|\b(?:404|401|403)\b|forbidden|unauthori[sz]ed|gated|invalid"), "permanent").when(m.rlike(r"connection|timed? ?out|temporar|reset by peer|unreachable|\b50[234]\b"), "transient").otherwise("other")
 
 
 def voice_family(model: Column) -> Column:

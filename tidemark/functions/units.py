@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 RUN_TYPES = ("running", "trail_running", "treadmill_running", "track_running", "virtual_run", "indoor_running", "ultramarathon")
 FEELINGS = ((0, "Very weak"), (25, "Weak"), (50, "Normal"), (75, "Strong"), (100, "Very strong"))
 HEART_ZONES = ((1, 0.55, 0.65, "Recovery"), (2, 0.55, 0.78, "Easy / long run"), (3, 0.75, 0.80, "Steady state / tempo"), (4, 0.80, 0.85, "Lactate threshold"), (5, 0.90, 1.00, "Speed / VO2max / sprints"))
+WORKOUT_ZONES = {"recovery": 1, "base": 2, "long_run": 2, "weighted_pack": 2, "threshold": 4, "sprint": 5, "hill_repeats": 5, "interval_recovery": 1, "warmup": 2, "cooldown": 1}
 WEATHER = {
     0: "Clear sky", 1: "Mainly clear", 2: "Partly cloudy", 3: "Overcast", 45: "Fog", 48: "Rime fog",
     51: "Light drizzle", 53: "Drizzle", 55: "Dense drizzle", 56: "Light freezing drizzle", 57: "Freezing drizzle",
@@ -32,6 +33,11 @@ def pace(metres_per_second: Column) -> Column:
     return F.bround(F.when(metres_per_second != 0, 1000 / metres_per_second / 60), 2)
 
 
+def race_minutes(seconds: Column) -> Column:
+    """Predicted short-race time in minutes, 0 for NULL."""
+    return F.bround(F.coalesce(seconds, F.lit(0)) / 60, 2)
+
+
 def race_hours(seconds: Column) -> Column:
     """Predicted long-race time in hours, 0 for NULL."""
     return F.bround(F.coalesce(seconds, F.lit(0)) / 3600, 2)
@@ -87,6 +93,22 @@ def max_heart_rate(age: Column, threshold: Column) -> Column:
     return F.when(age.isNotNull(), F.greatest(F.lit(120), 220 - age)).when(threshold > 0, (threshold / 0.85).cast("int")).otherwise(F.lit(185))
 
 
+def positive_rate(rate: Column) -> Column:
+    """A rate as a whole number, NULL unless positive."""
+    whole = rate.try_cast("int")
+    return F.when(whole > 0, whole)
+
+
+def lookup(key: Column, values: dict, default: object = None) -> Column:
+    """The value of a key in a small fixed dictionary, ``default`` for other keys and NULL."""
+    pairs = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
+
+
+def zone_of_workout(kind: Column) -> Column:
+    return lookup(kind, WORKOUT_ZONES, 2)
+
+
 def zone_bounds(max_rate: Column, rest_rate: Column) -> Column:
     """Array of (zone, label, min_bpm, max_bpm) by heart-rate reserve; rest 55 if not known, reserve at least 1."""
     rest = F.coalesce(F.when(rest_rate > 0, rest_rate), F.lit(55))

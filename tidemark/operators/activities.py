@@ -135,3 +135,52 @@ def bucket_of(values: DataFrame, buckets: DataFrame, value: str) -> DataFrame:
     """Range join to a small table of (bucket, low, high), high NULL for open; the table is broadcast as it has few rows by its kind."""
     inside = (F.col(value) >= F.col("low")) & (F.col("high").isNull() | (F.col(value) <= F.col("high")))
     return values.join(F.broadcast(buckets), inside, "left")
+
+
+def detail_columns(rows: DataFrame) -> DataFrame:
+    """Rows of the activity service in their units: kilometres, minutes, pace, heart rates, training effects 0 unless known."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return rows.select(
+        "user_id", "activity_id", "name", "type_key", units.kilometres(zero("distance_m")).alias("distance_km"), units.minutes(zero("moving_s")).alias("moving_min"),
+        units.pace(F.col("avg_speed_mps")).alias("avg_pace"), units.pace(F.col("max_speed_mps")).alias("max_pace"), "max_hr", "avg_hr",
+        F.bround(zero("aerobic_te"), 2).alias("aerobic_te"), F.bround(zero("anaerobic_te"), 2).alias("anaerobic_te"), "te_label",
+    )
+
+
+def profiles(rows: DataFrame) -> DataFrame:
+    """Profiles in their units: weight in kilograms, threshold speed in metres a minute, lists never NULL."""
+    days = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
+    speed = F.bround(F.coalesce(F.col("threshold_speed"), F.lit(0.0)) * 1000 / 60, 2)
+    return rows.select("user_id", units.kilograms(F.coalesce(F.col("weight_g"), F.lit(0.0))).alias("weight_kg"), "height", "birth_date", "vo2max", speed.alias("threshold_speed"), "threshold_rate", days("training_days"), days("long_days"))
+
+
+def race_predictions(rows: DataFrame) -> DataFrame:
+    """Predicted times: minutes for 5 and 10 kilometres, hours for half and full marathon, 0 for none."""
+    return rows.select("user_id", units.race_minutes(F.col("s_5k")).alias("min_5k"), units.race_minutes(F.col("s_10k")).alias("min_10k"), units.race_hours(F.col("s_half")).alias("h_half"), units.race_hours(F.col("s_full")).alias("h_full"))
+
+
+def peak_minutes(weeks: DataFrame, by: str, minutes: str, preferred: Column) -> DataFrame:
+    """(by, peak): the greatest minutes of the preferred weeks, of all if there are none, 0 at least."""
+    best = F.coalesce(F.max(F.when(preferred, F.coalesce(F.col(minutes), F.lit(0.0)))), F.max(minutes), F.lit(0.0))
+    return weeks.groupBy(by).agg(best.alias("peak"))
+
+
+def parted_by_heat(days: DataFrame, by: list[str], temp: str, order: str, hottest: int = 2) -> DataFrame:
+    """Days of a group with ``rest``: whether it is one of the hottest; an unknown temperature is 20 degrees, ties go to
+    the earlier day."""
+    w = Window.partitionBy(*by).orderBy(F.desc(F.coalesce(F.col(temp), F.lit(20.0))), order)
+    return days.withColumn("rest", F.row_number().over(w) <= hottest)
+
+
+def coolest_day(days: DataFrame, by: list[str], temp: str, order: str, middle: int | None = None) -> DataFrame:
+    """(by, day): the coolest day of a group, ties to the earlier one; with ``middle`` the day nearest to that
+    position, then the coolest."""
+    known = F.coalesce(F.col(temp), F.lit(20.0)).alias("t")
+    rank = F.struct(known, order) if middle is None else F.struct(F.abs(F.col(order) - middle).alias("m"), known, order)
+    return days.groupBy(*by).agg(F.min_by(order, rank).alias("day"))
+
+
+def joined_lists(rows: DataFrame, by: list[str], order: str, items: str) -> DataFrame:
+    """The arrays of a group as one, in order."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(items), F.array().cast(dict(rows.dtypes)[items])).alias("x"))))
+    return rows.groupBy(*by).agg(F.flatten(F.transform(ordered, lambda r: r.x)).alias(items))

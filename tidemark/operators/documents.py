@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import citations as C
 from tidemark.functions import text as T
 
 
@@ -66,7 +68,7 @@ def _slug(title: Column) -> Column:
 
 def drop_references(lines: DataFrame, by: list[str], order: str, text: str) -> DataFrame:
     """Lines without those from a references heading up to a heading that resumes the book."""
-    mark = F.when(T.is_references_heading(F.col(text)), 1).when(T.is_resume_heading(F.col(text)), 0)
+    mark = F.when(C.opens_references_column(F.col(text)), 1).when(C.resumes_column(F.col(text)), 0)
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("skip", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0))).where("skip = 0").drop("skip")
 
@@ -96,24 +98,96 @@ def markdown_sections(lines: DataFrame, key: list[str], least_words: int = 30) -
     return found.select(*key, "s.section", "s.title", "s.text").where(T.word_count(F.col("text")) >= least_words)
 
 
+_HEADER = r"^\s*(.+?)\s+\|?\s*\d{1,4}\s*$"
+
+
 def running_headers(lines: DataFrame, doc: str, least: int = 2) -> DataFrame:
     """(doc, stem): short lines of three words and more that end in a page number on several pages."""
-    body = F.trim(F.regexp_extract("line", r"^\s*(.+?)\s+\|?\s*\d{1,4}\s*$", 1))
+    body = F.trim(F.regexp_extract("line", _HEADER, 1))
     stems = lines.select(doc, F.lower(body).alias("stem")).where("stem <> '' AND NOT contains(stem, '.') AND length(stem) <= 80").where(T.word_count(F.col("stem")) >= 3)
     return stems.groupBy(doc, "stem").agg(F.count("*").alias("times")).where(F.col("times") >= least)
 
 
-def number_sections(blocks: DataFrame) -> DataFrame:
-    """Clean sections of the blocks, numbered in each chapter: tables count as paragraphs, blank ones drop out,
-    copies of a block count once."""
-    once = blocks.where("text IS NOT NULL").dropDuplicates(["book_id", "chapter_index", "block_pos"])
-    clean = once.withColumn("text", T.clean_text(F.col("text"))).where("trim(text) <> ''")
+def without_reference_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks without those from a heading of references on, up to a heading that resumes the chapter."""
+    mark = F.when(F.col("kind") == "heading", F.when(C.opens_references_column(F.col("text")), 1).when(C.resumes_column(F.col("text")), 0))
+    w = Window.partitionBy("book_id", "chapter_index").orderBy("block_pos").rowsBetween(Window.unboundedPreceding, 0)
+    return blocks.withColumn("_skip", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0))).where("_skip = 0").drop("_skip")
+
+
+def number_sections(blocks: DataFrame, clean: bool = True) -> DataFrame:
+    """Clean sections of the blocks, numbered in each chapter: reference sections are skipped, tables count as
+    paragraphs, blank ones drop out, copies of a block count once.  Without ``clean`` texts stay as they are."""
+    once = without_reference_blocks(blocks.where("text IS NOT NULL").dropDuplicates(["book_id", "chapter_index", "block_pos"]))
+    tidy = once.withColumn("text", T.clean_text(F.col("text"))) if clean else once
     kind = F.when(F.col("kind") == "footnote", "footnote").otherwise("body")
-    rows = clean.select("book_id", "chapter_index", "block_pos", kind.alias("kind"), "text", "note_number", "block_id", "parent_id")
+    rows = tidy.where("trim(text) <> ''").select("book_id", "chapter_index", "block_pos", kind.alias("kind"), "text", "note_number", "block_id", "parent_id")
     hashed = rows.withColumn("text_hash", F.sha2(F.col("text").cast("binary"), 256))
     return renumber(hashed, ["book_id", "chapter_index"], ["block_pos"], "section_index")
 
 
+def render_blocks(blocks: DataFrame) -> DataFrame:
+    """(book_id, chapter_index, text): blocks as text to look at, the notes in a section of their own behind the rest."""
+    once = blocks.where("text IS NOT NULL").dropDuplicates(["book_id", "chapter_index", "block_pos"])
+    note = F.coalesce(F.col("kind") == "footnote", F.lit(False))
+    said = F.when(note & (F.coalesce("note_number", F.lit("")) != ""), F.concat("note_number", F.lit("\n. "), "text")).otherwise(F.trim("text"))
+    rows = once.select("book_id", "chapter_index", "block_pos", note.alias("note"), said.alias("said")).where("said <> ''")
+    ordered = F.array_sort(F.collect_list(F.struct("block_pos", "note", "said")))
+    part = lambda keep, joint: F.array_join(F.transform(F.filter("b", keep), lambda x: x.said), joint)
+    each = rows.groupBy("book_id", "chapter_index").agg(ordered.alias("b"))
+    body, notes = part(lambda x: ~x.note, "\n\n"), part(lambda x: x.note, "\n")
+    return each.select("book_id", "chapter_index", F.concat_ws("\n\n", F.nullif(body, F.lit("")), F.when(notes != "", F.concat(F.lit("Notes\n"), notes))).alias("text"))
+
+
+def drop_running_headers(lines: DataFrame, doc: str, least: int = 2) -> DataFrame:
+    """Lines without the running headers that ``running_headers`` finds; their list is short, a row for each header of a document."""
+    found = running_headers(lines, doc, least).select(doc, "stem")
+    stem = F.lower(F.trim(F.regexp_extract("line", _HEADER, 1)))
+    marked = lines.withColumn("stem", F.nullif(stem, F.lit("")))
+    kept = marked.where("stem IS NOT NULL").join(found, [doc, "stem"], "left_anti").select(*lines.columns)
+    return kept.unionByName(marked.where("stem IS NULL").select(*lines.columns))
+
+
+def section_counts(sections: DataFrame) -> DataFrame:
+    """(book_id, chapters, sections, words) of every book."""
+    return sections.groupBy("book_id").agg(F.countDistinct("chapter_index").alias("chapters"), F.count("*").alias("sections"), F.sum(T.word_count(F.col("text"))).alias("words"))
+
+
+def select_chapters(chapters: DataFrame, keep: DataFrame | None, cached: DataFrame | None, analyses: DataFrame, decisions: DataFrame, most: int = 60, limit: int | None = None) -> DataFrame:
+    """The chapters of each book that are kept, by the first source of decisions that has any for the book.
+
+    Sources in order: chapters named by hand (``keep``), cached decisions, decisions of a model,
+    and in books of more than ``most`` sections the opening analyses instead of those.  What
+    is plainly a table of contents is dropped unless named by hand; a chapter without a
+    decision is dropped.
+    """
+    key = ["book_id", "chapter_index"]
+    sizes = chapters.groupBy("book_id").agg(F.count("*").alias("_n"))
+    ranked = lambda df, rank, verdict: df.select(*key, F.lit(rank).alias("_rank"), verdict.alias("keep"))
+    sources = [ranked(df.join(sizes, "book_id").where(when), rank, F.col(verdict)) for df, rank, verdict, when in ((decisions, 2, "keep", f"_n <= {most}"), (analyses, 3, "narratively_important", f"_n > {most}"))]
+    if cached is not None:
+        sources.append(ranked(cached, 1, F.col("keep")))
+    if keep is not None:
+        sources.append(ranked(keep, 0, F.lit(True)))
+    every = reduce(DataFrame.unionByName, sources)
+    best = every.withColumn("_best", F.min("_rank").over(Window.partitionBy("book_id"))).where("_rank = _best")
+    contents = catalog(chapters).select(*key, "is_contents")
+    verdict = best.groupBy(*key).agg(F.max(F.coalesce("keep", F.lit(False))).alias("keep"), F.min("_rank").alias("_rank")).join(contents, key)
+    return apply_decisions(chapters, verdict.select(*key, (F.col("keep") & (~F.col("is_contents") | (F.col("_rank") == 0))).alias("keep")), limit)
+
+
+def further_split(units: DataFrame, text: str, over: int, target: int, by: list[str], order: list[str]) -> DataFrame:
+    """Units over the limit as their pieces, which inherit all other columns; numbered anew in each group, never merged."""
+    rest = [c for c in units.columns if c not in (text, "chunk_index")]
+    rows = split_rows(units.withColumn("_at", F.struct(*order)), text, over, target, [*rest, "_at"])
+    return renumber(rows, by, ["_at", "part"], "chunk_index").drop("_at", "part")
+
+
+def speak_units(units: DataFrame, text: str, over: int, target: int, by: list[str], order: list[str]) -> DataFrame:
+    """``further_split`` with white space as single spaces and blank units dropped before they are numbered."""
+    return further_split(units.withColumn(text, T.speak(F.col(text))).where(f"{text} <> ''"), text, over, target, by, order)
+
+
 def linked_windows(blocks: DataFrame) -> DataFrame:
     """One window for each block that is no linked note: its text and, in order, the texts of the notes whose
     parent it is; a note without a parent in its chapter is a window of its own."""
@@ -262,7 +336,7 @@ def stale(rows: DataFrame, cache: DataFrame, key: list[str], text: str) -> DataF
 
 def prefer_notes(notes: DataFrame, key: list[str], body: str, order: str) -> DataFrame:
     """Of notes under one key the best body: prose before mere citation, then the longer, then the earlier."""
-    rank = F.struct((~T.is_citation_only(F.col(body))).alias("prose"), F.length(body).alias("n"), (-F.col(order)).alias("o"))
+    rank = F.struct((~C.citation_only_column(F.col(body))).alias("prose"), F.length(body).alias("n"), (-F.col(order)).alias("o"))
     return notes.groupBy(*key).agg(F.max_by(body, rank).alias(body))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.documents import page_ranges
+from tidemark.tables import small
 
 CHAPTER_LIKE, INDEX_LETTER = r"(?i)^\s*(?:chapter|part|book)\b|^\s*\d+[.:)\s]", r"^\s*[A-Z]\s*$"
 
@@ -65,12 +66,12 @@ def progress(rows: DataFrame, by: str, order: str, done: Column) -> DataFrame:
     return rows.withColumn("done", F.count_if(done).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("of", F.count("*").over(Window.partitionBy(by)))
 
 
-def assign_without_repeat(rows: DataFrame, order: str, pool: DataFrame, name: str, seed: int) -> DataFrame:
+def assign_without_repeat(rows: DataFrame, order: str, pool: DataFrame, name: str, seed: int, by: str = "group") -> DataFrame:
     """Each row of a group one member of a small pool, no member twice before all were used; by a seeded order."""
     shuffled = pool.select(name, (F.row_number().over(Window.orderBy(F.xxhash64(name, F.lit(seed)), name)) - 1).alias("k"))
-    size = pool.agg(F.count("*").alias("size"))
-    turn = F.row_number().over(Window.partitionBy("group").orderBy(order)) - 1  # the pool is a short list
-    return rows.withColumn("turn", turn).crossJoin(F.broadcast(size)).withColumn("k", F.col("turn") % F.col("size")).join(F.broadcast(shuffled), "k").drop("k", "turn", "size")
+    size = pool.count()
+    turn = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1  # the pool is a short list
+    return rows.withColumn("turn", turn).withColumn("k", F.col("turn") % F.lit(max(size, 1))).join(small(shuffled), "k").drop("k", "turn")
 
 
 __all__ = ["assign_without_repeat", "best_depth", "chapter_marks", "enough_text", "heading_sections", "merge_outlines", "outline_sections", "page_ranges", "progress"]

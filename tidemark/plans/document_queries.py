@@ -222,10 +222,12 @@ SELECT run_id, max(done) AS done, CAST(sum(done) AS BIGINT) AS sum_done, max(n)
 n AS (SELECT *, len({_WORDS.replace("text", "raw_text")}) AS rn, len({_WORDS.replace("text", "cleaned_text")}) AS cn, len({_WORDS.replace("text", "h")}) AS hn FROM d)
 SELECT book_id, chapter_index, chunk_index, md5(CASE WHEN rn > 0 AND (cn = 0 OR cn > rn * 2.5) THEN raw_text ELSE cleaned_text END) AS answer,
   CASE WHEN NOT (h = '' OR length(h) > 400 OR hn > 60 OR regexp_matches(h, '\[[A-Za-z][^\]]*\]') OR coalesce(trim(raw_text) <> '' AND contains(trim(raw_text), h), false) OR coalesce(hn > 40 AND length(h) > 0.5 * length(trim(raw_text)), false)) THEN h END AS hint FROM n""",
-    "ref_without_references": r"""WITH l AS (SELECT book_id, chapter_index, i AS pos, trim(ls[i]) AS line FROM (SELECT book_id, chapter_index, string_split_regex(text, '\r\n|\r|\n') AS ls FROM chapters WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS t(i)),
-m AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^(?:#{1,6}\s+)?[*"''_]*(?:REFS)[*"''_]*\s*[:.]?\s*$') THEN 1 WHEN regexp_matches(line, '(?i)^(?:#{1,6}\s+)?(?:ENDS)\s*[:.]?\s*$') THEN 0 END AS k FROM l),
+    "ref_without_references": r"""WITH l AS (SELECT book_id, chapter_index, i AS pos, ls[i] AS line FROM (SELECT book_id, chapter_index, string_split_regex(text, '\r\n|\r|\n') AS ls FROM chapters WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS t(i)),
+h AS (SELECT *, lower(regexp_replace(trim(trim(line), E' \t*_"\':.#'), '\s+', ' ', 'g')) AS h FROM l),
+m AS (SELECT *, CASE WHEN h IN ('reference', 'references', 'bibliography', 'works cited', 'works consulted', 'literature cited', 'notes and references', 'notes and bibliography', 'citations', 'further reading', 'sources') THEN 1
+  WHEN h IN ('acknowledgment', 'acknowledgments', 'acknowledgement', 'acknowledgements', 'about the author', 'conclusion', 'afterword', 'epilogue', 'glossary', 'index', 'appendix', 'appendices') OR regexp_matches(h, '^(appendix|appendices) [a-z0-9]+$') THEN 0 END AS k FROM h),
 s AS (SELECT *, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY book_id, chapter_index ORDER BY pos), 0) AS skip FROM m)
-SELECT book_id, chapter_index, count(*) AS lines FROM s WHERE skip = 0 GROUP BY ALL""".replace("REFS", T.REFERENCES).replace("ENDS", T.RESUMES),
+SELECT book_id, chapter_index, count(*) AS lines FROM s WHERE skip = 0 GROUP BY ALL""",
     "ref_running_headers": r"""WITH b AS (SELECT DISTINCT book_id, chapter_index, block_pos, text FROM blocks WHERE text IS NOT NULL), l AS (SELECT book_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS line FROM b),
 s AS (SELECT book_id, lower(trim(regexp_extract(line, '^\s*(.+?)\s+\|?\s*\d{1,4}\s*$', 1))) AS stem FROM l)
 SELECT book_id, stem, count(*) AS times FROM s WHERE stem <> '' AND NOT contains(stem, '.') AND length(stem) <= 80 AND len(list_filter(string_split_regex(stem, '[\s\x0b\x{85}\p{Z}]+'), lambda x: x <> '')) >= 3 GROUP BY ALL HAVING count(*) >= 2""",

@@ -9,7 +9,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidemark.operators.notes import BLOCK, citation_only
+from tidemark.functions.citations import citation_only
+from tidemark.operators.notes import BLOCK
 
 _NUMBER = re.compile(r"^[\[(]?(\d{1,3}[a-z]?)[\])]?$")
 _LEADING = re.compile(r"^\s*[\[(]?\d{1,3}[a-z]?[\])]?(?:\s*[.)])?\s+|^\s*[↩^]\s*")
