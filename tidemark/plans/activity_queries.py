@@ -141,7 +141,41 @@ def event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_type", F.explode("keys").alias("key")).groupBy("event_type", "key").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f"ref_{f.__name__}": f for f in (activity_rows, zone_minutes, weekly_stats, chronic_minutes, peak_week, recent_activities, loads_at_week_end, distinct_events, next_events, latest_events, duration_buckets, feelings, event_values, weekly_zones, month_scan, first_page, enriched)}
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kilometres of each user's days, by week and position in it."""
+    rows = _rows(spark, sf_dir).where("user_id IS NOT NULL AND day IS NOT NULL").groupBy("user_id", "day").agg(F.round(F.sum("distance_m"), 3).alias("metres"))
+    return rows.select("user_id", F.trunc("day", "week").alias("week"), F.weekday("day").alias("position"), "metres")
+
+
+def rest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two days of a week with the greatest value."""
+    return _text(A.parted_by_heat(_days(spark, sf_dir), ["user_id", "week"], "metres", "position").where("rest").select("user_id", "week", "position"))
+
+
+def coolest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day of a week with the least value, and the one nearest to its middle."""
+    days = _days(spark, sf_dir)
+    middle = A.coolest_day(days, ["user_id", "week"], "metres", "position", 3).withColumnRenamed("day", "middle")
+    return _text(A.coolest_day(days, ["user_id", "week"], "metres", "position").join(middle, ["user_id", "week"]))
+
+
+def peak_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: greatest minutes of the weeks with running, else of all."""
+    rows = _rows(spark, sf_dir)
+    weeks = A.weekly_stats(rows, A.zone_rows(rows), AS_OF, 8)
+    return A.peak_minutes(weeks, "user_id", "total_zone_min", F.col("distance_km") > 0)
+
+
+def recovery_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: weeks that hold an event of the user, and first weeks after one; blocks end the day before as_of."""
+    rows = _rows(spark, sf_dir)
+    weeks = A.weekly_stats(rows, A.zone_rows(rows), AS_OF, 8).select("user_id", "block_start", "block_end")
+    days = rows.where("type_key = 'trail_running' AND day IS NOT NULL").groupBy("user_id").agg(F.max("day").alias("event"))
+    held = weeks.join(days, "user_id", "left")
+    return _text(held.select("user_id", "block_end", dates.contains_day(F.col("block_start"), F.col("block_end"), F.col("event")).alias("holds"), dates.first_recovery(F.col("block_start"), F.col("block_end"), F.col("event")).alias("recovers")))
+
+
+QUERIES = {f"ref_{f.__name__}": f for f in (activity_rows, zone_minutes, weekly_stats, chronic_minutes, peak_week, recent_activities, loads_at_week_end, distinct_events, next_events, latest_events, duration_buckets, feelings, event_values, weekly_zones, month_scan, first_page, enriched, rest_days, coolest_days, peak_minutes, recovery_weeks)}
 
 _BASE = """WITH v AS (SELECT record_id, arg_max(struct_pack(u := user_id, s := start_time_local, z := total_zone_min, d := distance_km, a := acute_load, c := chronic_load, t := type_key), received_at) AS r FROM actuals GROUP BY record_id),
 a AS (SELECT r.u AS user_id, record_id AS activity_id, CASE WHEN regexp_matches(r.s, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(substr(r.s, 1, 10) AS DATE) END AS day,
@@ -177,7 +211,16 @@ def _weeks(blocks: int) -> str:
 
 _EVENTS = "e AS (SELECT event_id, user_id, event_type AS title, CAST(ts AS DATE) AS day FROM events), m AS (SELECT min(day) + CAST(floor(date_diff('day', min(day), max(day)) / 2) AS INT) AS mid FROM e)"
 
+_DAYS = _BASE + """, d AS (SELECT user_id, strftime(date_trunc('week', day), '%Y-%m-%d') AS week, CAST(isodow(day) - 1 AS INT) AS position, round(sum(distance_m), 3) AS metres FROM a WHERE user_id IS NOT NULL AND day IS NOT NULL GROUP BY ALL)
+"""
+
 ORACLE = {
+    "ref_rest_days": _DAYS + "SELECT user_id, week, position FROM d QUALIFY row_number() OVER (PARTITION BY user_id, week ORDER BY coalesce(metres, 20) DESC, position) <= 2",
+    "ref_coolest_days": _DAYS + "SELECT user_id, week, arg_min(position, (coalesce(metres, 20), position)) AS day, arg_min(position, (abs(position - 3), coalesce(metres, 20), position)) AS middle FROM d GROUP BY ALL",
+    "ref_peak_minutes": _weeks(8) + "SELECT user_id, coalesce(max(total_zone_min) FILTER (distance_km > 0), max(total_zone_min), 0) AS peak FROM w GROUP BY user_id",
+    "ref_recovery_weeks": _weeks(8)
+    + """, e AS (SELECT user_id, max(day) AS event FROM a WHERE type_key = 'trail_running' GROUP BY user_id), k AS (SELECT w.user_id, CAST(block_start AS DATE) AS s, CAST(block_end AS DATE) AS t, block_end, event FROM w LEFT JOIN e USING (user_id))
+SELECT user_id, block_end, coalesce(event >= s AND event <= t, false) AS holds, coalesce(event < t AND s <= event + 7, false) AS recovers FROM k""",
     "ref_activity_rows": _BASE
     + f"""SELECT user_id, activity_id, strftime(day, '%Y-%m-%d') AS day, round_even(distance_m / 1000, 2) AS km,
   CASE WHEN distance_m <> 0 THEN round_even(1000 / (distance_m / nullif(total_s, 0)) / 60, 2) END AS pace, coalesce(type_key IN {_RUN}, false) AS is_run,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import records, units
+from tidemark.operators import activities as A
 from tidemark.operators import documents as D
 from tidemark.operators import notes as N
 from tidemark.operators import outline as O
@@ -172,9 +173,36 @@ def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("book_id", "chapter_index", "chunk_index", F.md5(answer.cast("binary")).alias("answer"), hint.alias("hint"))
 
 
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters as text to look at, notes behind."""
+    return D.render_blocks(read(spark, sf_dir, "blocks")).select("book_id", "chapter_index", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+def section_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: blocks as numbered sections, reference sections skipped."""
+    return D.number_sections(read(spark, sf_dir, "blocks"), clean=False).select("book_id", "chapter_index", "block_pos", "section_index", "kind", "text_hash")
+
+
+def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters, sections and words of books."""
+    return D.section_counts(D.number_sections(read(spark, sf_dir, "blocks"), clean=False))
+
+
+def lines_without_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of books left without running headers."""
+    lines = D.text_lines(read(spark, sf_dir, "blocks").where("text IS NOT NULL").select("book_id", "chapter_index", "block_pos", "text").distinct(), ["book_id", "chapter_index", "block_pos"])
+    return D.drop_running_headers(lines, "book_id").groupBy("book_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+def note_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Note references of a chapter as one list, in order of its blocks."""
+    once = read(spark, sf_dir, "blocks").dropDuplicates(["book_id", "chapter_index", "block_pos"])
+    return A.joined_lists(once, ["book_id", "chapter_index"], "block_pos", "note_refs").select("book_id", "chapter_index", F.array_join("note_refs", " ").alias("refs"), F.size("note_refs").alias("n"))
+
+
 QUERIES = {
     f"ref_{f.__name__}": f
-    for f in (catalog, kept_chapters, slugs, chapter_pages, chapter_texts, narration, spoken, clean_sections, note_windows, format_chunks, speak_batches, capacity, run_summary, stage_seconds, stale_chunks, running_headers, without_references, markdown_chapters, notes, fingerprints, book_kinds, plain_blocks, placed_notes, chapter_marks, run_progress, guarded_answers)
+    for f in (catalog, kept_chapters, slugs, chapter_pages, chapter_texts, narration, spoken, clean_sections, note_windows, format_chunks, speak_batches, capacity, run_summary, stage_seconds, stale_chunks, running_headers, without_references, markdown_chapters, notes, fingerprints, book_kinds, plain_blocks, placed_notes, chapter_marks, run_progress, guarded_answers, rendered, section_numbers, section_counts, lines_without_headers, note_lists)
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\s\x0b\x{85}\p{Z}]+'), lambda x: x <> '')"
@@ -185,7 +213,62 @@ c AS (SELECT book_id, chapter_index, CAST(n AS INT) AS word_count, array_to_stri
 """
 _PATH = r"url_decode(replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(source_path, '^file://', ''), '%20', ' '), '/[^/]+/\.\./', '/', 'g'), '/\./', '/', 'g'), '/+', '/', 'g'), '+', '%2B'))"
 
+_REFS = """('reference', 'references', 'bibliography', 'works cited', 'works consulted', 'literature cited', 'notes and references', 'notes and bibliography', 'citations', 'further reading', 'sources')"""
+_ENDS = """('acknowledgment', 'acknowledgments', 'acknowledgement', 'acknowledgements', 'about the author', 'conclusion', 'afterword', 'epilogue', 'glossary', 'index', 'appendix', 'appendices')"""
+_HEADING = r"""lower(regexp_replace(trim(trim({0}), E' \t*_"\':.#'), '\s+', ' ', 'g'))"""
+_SECTIONS = rf"""WITH b AS (SELECT DISTINCT book_id, chapter_index, block_pos, kind, text, {_HEADING.format("text")} AS h FROM blocks WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index, block_pos ORDER BY text) = 1),
+m AS (SELECT *, CASE WHEN kind = 'heading' AND h IN {_REFS} THEN 1 WHEN kind = 'heading' AND (h IN {_ENDS} OR regexp_matches(h, '^(appendix|appendices) [a-z0-9]+$')) THEN 0 END AS k FROM b),
+t AS (SELECT *, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY book_id, chapter_index ORDER BY block_pos), 0) AS skip FROM m),
+s AS (SELECT book_id, chapter_index, block_pos, CASE WHEN kind = 'footnote' THEN 'footnote' ELSE 'body' END AS kind, text FROM t WHERE skip = 0 AND trim(text, ' ') <> '')
+"""
+_HEADS = r"""WITH b AS (SELECT DISTINCT book_id, chapter_index, block_pos, text FROM blocks WHERE text IS NOT NULL), l AS (SELECT book_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS line FROM b),
+s AS (SELECT book_id, line, lower(trim(regexp_extract(line, '^\s*(.+?)\s+\|?\s*\d{1,4}\s*$', 1))) AS stem FROM l),
+r AS (SELECT book_id, stem, count(*) AS times FROM s WHERE stem <> '' AND NOT contains(stem, '.') AND length(stem) <= 80 AND len(list_filter(string_split_regex(stem, '[\s\x0b\x{85}\p{Z}]+'), lambda x: x <> '')) >= 3 GROUP BY ALL HAVING count(*) >= 2)
+"""
+_MARKS = [("(?s)```.*?```", ""), ("`([^`]+)`", r"\1"), (r"!\[([^\]]*)\]\([^)]+\)", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"), ("__([^_]+)__", r"\1"), ("_([^_]+)_", r"\1"), (r"(?m)^[-*_]{3,}\s*$", "")]
+
+
+def _unmarked(text: str) -> str:
+    """Markdown marks removed one kind after another, blank lines dropped, in SQL."""
+    for pattern, out in _MARKS:
+        text = f"regexp_replace({text}, '{pattern}', '{out}', 'g')"
+    return rf"array_to_string(list_filter(list_transform(string_split_regex({text}, '\r\n|\r|\n'), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10))"
+
+
 ORACLE = {
+    "ref_rendered": r"""WITH b AS (SELECT * FROM blocks WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index, block_pos ORDER BY text) = 1),
+r AS (SELECT book_id, chapter_index, block_pos, coalesce(kind = 'footnote', false) AS note, CASE WHEN kind = 'footnote' AND coalesce(note_number, '') <> '' THEN note_number || E'\n. ' || text ELSE trim(text, ' ') END AS said FROM b),
+t AS (SELECT book_id, chapter_index, string_agg(said, E'\n\n' ORDER BY block_pos) FILTER (NOT note) AS body, string_agg(said, E'\n' ORDER BY block_pos) FILTER (note) AS notes FROM r WHERE said <> '' GROUP BY ALL)
+SELECT book_id, chapter_index, md5(concat_ws(E'\n\n', body, E'Notes\n' || notes)) AS text FROM t""",
+    "ref_section_numbers": _SECTIONS + "SELECT book_id, chapter_index, block_pos, CAST(row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY block_pos) - 1 AS INT) AS section_index, kind, sha256(text) AS text_hash FROM s",
+    "ref_section_counts": _SECTIONS + f"SELECT book_id, count(DISTINCT chapter_index) AS chapters, count(*) AS sections, CAST(sum(len({_WORDS})) AS BIGINT) AS words FROM s GROUP BY book_id",
+    "ref_lines_without_headers": _HEADS + "SELECT book_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM s LEFT JOIN r USING (book_id, stem) WHERE times IS NULL GROUP BY book_id",
+    "ref_note_lists": """WITH b AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index, block_pos ORDER BY text) = 1),
+f AS (SELECT book_id, chapter_index, flatten(list(coalesce(note_refs, []) ORDER BY block_pos)) AS x FROM b GROUP BY ALL) SELECT book_id, chapter_index, coalesce(array_to_string(x, ' '), '') AS refs, CAST(len(x) AS INT) AS n FROM f""",
+    "ref_slugs": r"""WITH b AS (SELECT book_id, chapter_index, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(trim(chapter_title, ' ')), '[^\p{L}\p{M}\p{Nd}_\s\x0b\x{85}\p{Z}-]', '', 'g'), '[\s\x0b\x{85}\p{Z}_-]+', '_', 'g'), 1, 80), '^_+|_+$', '', 'g'), ''), 'untitled') AS base FROM chapters),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id, base ORDER BY chapter_index) AS n, count(*) OVER (PARTITION BY book_id, base) AS most FROM b),
+s AS (SELECT *, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS slug FROM n),
+c AS (SELECT *, row_number() OVER (PARTITION BY book_id, slug ORDER BY n, chapter_index) AS clash FROM s)
+SELECT book_id, chapter_index, CASE WHEN clash = 1 THEN slug ELSE base || '_' || (most + n) END AS slug FROM c""",
+    "ref_markdown_chapters": rf"""WITH l AS (SELECT book_id, chapter_index, i AS pos, ls[i] AS line FROM (SELECT book_id, chapter_index, string_split_regex(text, '\r\n|\r|\n') AS ls FROM chapters WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS t(i)),
+f AS (SELECT *, starts_with(trim(line, ' '), '```') AS fence FROM l),
+o AS (SELECT *, sum(CAST(fence AS INT)) OVER w % 2 AS open FROM f WINDOW w AS (PARTITION BY book_id, chapter_index ORDER BY pos)),
+h AS (SELECT *, CASE WHEN open = 0 AND NOT fence THEN nullif(regexp_extract(line, '^#{{1,6}}\s+(.+?)(?:\s+#+)?\s*$', 1), '') END AS heading FROM o),
+g AS (SELECT *, count(heading) OVER (PARTITION BY book_id, chapter_index ORDER BY pos) AS section FROM h),
+p AS (SELECT book_id, chapter_index, section, max(heading) AS title, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (heading IS NULL), '') AS body FROM g GROUP BY ALL),
+q AS (SELECT book_id, chapter_index, section, title, {_unmarked("body")} AS text FROM p),
+k AS (SELECT *, len({_WORDS}) AS n FROM q),
+w AS (SELECT book_id, chapter_index, 0 AS section, NULL AS title, string_agg(line, chr(10) ORDER BY pos) AS body FROM g GROUP BY ALL),
+v AS (SELECT book_id, chapter_index, section, title, {_unmarked("body")} AS text FROM w ANTI JOIN (SELECT * FROM k WHERE n >= 30) USING (book_id, chapter_index))
+SELECT book_id, chapter_index, section, title, CAST(length(text) AS INT) AS n_chars FROM k WHERE n >= 30
+UNION ALL SELECT book_id, chapter_index, section, title, CAST(length(text) AS INT) FROM v WHERE len({_WORDS}) >= 30""",
+    "ref_notes": rf"""WITH b AS (SELECT book_id, chapter_index, note_number, text AS body, block_pos, len({_WORDS}) AS n,
+  CAST(regexp_matches(text, '(?im)(,\s*\d+[a-z]?(\s*[-–—]\s*\d+[a-z]?)?[ .]*$|\bpp?\.\s*\d)') AS INT) AS pages, CAST(regexp_matches(text, '(?i)\([^()]*(press|university|verlag|macmillan|urbanomic|publisher|editionen|madra|tuttle)[^()]*\)') AS INT) AS house,
+  CAST(regexp_matches(text, '(?i)https?://|www\.') AS INT) AS url, CAST(regexp_matches(text, '(?m)^See\s+\p{{Lu}}') AS INT) AS see,
+  CAST(regexp_matches(trim(text), '^((\p{{Lu}}\.\s*)+\p{{Lu}}[\pL''’.-]+|\p{{Lu}}[\pL''’.-]+(\s+\p{{Lu}}[\pL''’.-]+)?,)') AS INT) AS author
+  FROM blocks WHERE kind = 'footnote' AND text IS NOT NULL AND note_number IS NOT NULL),
+r AS (SELECT *, n = 0 OR (n <= 80 AND (pages + house + url + see + author >= 2 OR (n <= 25 AND pages + house + url >= 1))) AS cites FROM b)
+SELECT book_id, chapter_index, note_number, arg_max(body, (NOT cites, length(body), -block_pos)) AS text FROM r GROUP BY ALL""",
     "ref_catalog": _CATALOG + "SELECT * FROM c",
     "ref_kept_chapters": _CATALOG + "SELECT book_id, chapter_index FROM c WHERE NOT is_contents AND word_count > 0 QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) <= 5",
     "ref_chapter_texts": r"""WITH b AS (SELECT DISTINCT book_id, chapter_index, block_pos, text FROM blocks WHERE text IS NOT NULL)
