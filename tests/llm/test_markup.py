@@ -70,3 +70,16 @@ def test_chrome_is_dropped(spark):
     roles = {(r.content, r.role) for r in induce_wrappers(blocks, chapters).where("book_id = 1").collect()}
     assert ("Home", "template") in roles and ("once", "template") not in roles
     assert without_chrome("<p>a</p><p>b <i>a</i></p>", {"a"}) == "<p></p><p>b <i>a</i></p>"
+
+
+def test_what_is_no_markup_and_what_nests():
+    assert languages("Let a[i] = b[j](x) be, and __init__ too") == [] and languages("see b[j](https://x.test/a)") == ["markdown"]
+    assert [t for t in Reading("| a | b |\n|-|-|\n| 1 | - |").parts()] == [("table", "a | b\n1 | -")] and languages("| a | b |\n| 1 | - |") == []
+    assert Reading("x\n\\begin{tabular}{ll}\\hline a & b \\\\ \\emph{c} & d \\\\ \\end{tabular}").parts()[-1] == ("table", "a | b\nc | d")
+    deep = "core"
+    for _ in range(9):
+        deep = "\\emph{" + deep + "}"
+    assert "".join(t for _, t in Reading(deep + " {{a{{b{{c{{d{{e}}}}}}}}}}").parts()) == "core"
+    assert "\ue000" in "".join(t for _, t in Reading("a \ue000 **b**").parts())
+    label = "a long label of many words that goes on for more than forty letters"
+    assert languages(f"[text][{label}]") == ["markdown"]

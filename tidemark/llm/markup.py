@@ -55,16 +55,17 @@ _HTML_TABLE = re.compile(r"<table\b[^>]*>(.*?)</table\s*>", re.S | re.I)
 _HTML_ROW, _HTML_CELL = re.compile(r"<tr\b[^>]*>(.*?)(?=<tr\b|</tr\s*>|\Z)", re.S | re.I), re.compile(r"<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</t[dhr]\s*>|\Z)", re.S | re.I)
 _HTML_HEAD, _HTML_ITEM = re.compile(r"<h([1-6])\b[^>]*>(.*?)</h\1\s*>", re.S | re.I), re.compile(r"<li\b[^>]*>(.*?)(?=</li\s*>|<li\b|</[uo]l\s*>|\Z)(?:</li\s*>)?", re.S | re.I)
 _HTML_BREAK = re.compile(r"</?(?:p|div|br|hr|ul|ol|table|blockquote|section|article|header|footer|nav|tr)\b[^>]*>", re.I)
-_MD_TABLE = re.compile(r"^[ \t]*\|?[^\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*(?:\n[^\n]*\|[^\n]*)*", re.M)
-_MD_DELIMITER = re.compile(r"^[ \t]*\|[ \t]*:?-{2,}|-\|-|^[ \t]*:?-{2,}:?[ \t]*\|", re.M)
+_MD_TABLE = re.compile(r"^[ \t]*\|?[^\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*(?:\n[^\n]*\|[^\n]*)*|^[ \t]*\|[^\n]*\|[ \t]*\n[ \t]*\|(?:[ \t]*:?-+:?[ \t]*\|){2,}[ \t]*(?:\n[^\n]*\|[^\n]*)*", re.M)
+_MD_DELIMITER = re.compile(r"^[ \t]*\|(?:[ \t]*:?-+:?[ \t]*\|){2,}[ \t]*$|^[ \t]*\|[ \t]*:?-{2,}|-\|-|^[ \t]*:?-{2,}:?[ \t]*\|", re.M)
 _MD_ATX, _MD_SETEXT = re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", re.M), re.compile(r"^[ \t]*(?![-=|>])([^\n|]*\S)[ \t]*\n[ \t]{0,3}(?:={3,}|-{3,})[ \t]*$", re.M)
 _MD_RULE = re.compile(r"^[ \t]{0,3}(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,4}|(?:-[ \t]*){3,})$", re.M)
 _MD_QUOTE = re.compile(r"^[ \t]{0,3}>[ \t]?(?=[\w\"'“”«»‘’*_\[(`¿¡—-]|[ \t]*$|>)", re.M)
-_MD_IMAGE, _MD_LINK = re.compile(r"!\[([^\[\]]*)\](?:\([^()\s]*(?:\s+\"[^\"]*\")?\)|\[[^\[\]]*\])"), re.compile(r"\[([^\[\]]+)\]\((?:<[^<>]*>|[^()\s]+)(?:\s+\"[^\"]*\")?\)")
-_MD_REFERENCE, _MD_DEFINITION = re.compile(r"\[([^\[\]\n]+)\]\s?\[([^\[\]\n]{1,40})\]"), re.compile(r"^[ \t]{0,3}\[[^\[\]\n]+\]:[ \t]+\S+[^\n]*$", re.M)
+_MD_IMAGE, _MD_LINK = re.compile(r"!\[([^\[\]]*)\](?:\([^()\s]*(?:\s+\"[^\"]*\")?\)|\[[^\[\]]*\])"), re.compile(r"(?:(?<![\w\])])|(?=\[[^\[\]]+\]\([^()\s]*[/.:#]))\[([^\[\]]+)\]\((?:<[^<>]*>|[^()\s]+)(?:\s+\"[^\"]*\")?\)")  # an index and a call, b[j](x), are no link
+_MD_REFERENCE, _MD_DEFINITION = re.compile(r"\[([^\[\]\n]+)\]\s?\[([^\[\]\n]+)\]"), re.compile(r"^[ \t]{0,3}\[[^\[\]\n]+\]:[ \t]+\S+[^\n]*$", re.M)
 _MD_STRIKE = re.compile(r"~~(?=[^\s~])(.+?)(?<=[^\s~])~~", re.S)
 _MD_STAR = re.compile(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])((?:[^*]|(?<=\s)\*(?=\s))+?)(?<=[^\s*])\1(?!\*)|(?<=\w)(\*{2,3})(?=[^\s*])([^*\n]+?)(?<=[^\s*])\3(?!\*)", re.S)
-_MD_UNDER = re.compile(r"(?<![\w\\])(_{1,2})(?=[^\W_])([^_\n]+?)(?<=[^\s_])\1(?![\w])")
+_DUNDERS = "init main name file doc new del repr str len iter next enter exit call eq hash all dict class slots version getitem setitem contains"
+_MD_UNDER = re.compile(rf"(?<![\w\\])(?!__(?:{_DUNDERS.replace(' ', '|')})__)" r"(_{1,2})(?=[^\W_])([^_\n]+?)(?<=[^\s_])\1(?![\w])")
 _MD_AUTOLINK = re.compile(r"<((?:https?://|mailto:)[^<>\s]+)>")
 _MD_TASK = re.compile(r"^([ \t]*[-*+][ \t]+)\[[ xX]\][ \t]+", re.M)
 _WIKI_TABLE = re.compile(r"^[ \t]*\{\|([^\n]*)\n(.*?)^[ \t]*\|\}", re.S | re.M)
@@ -78,12 +79,14 @@ _TEX_HEAD = re.compile(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?
 _TEX_ITEM = re.compile(r"\\item\b(?:\[[^\]]*\])?[ \t]*([^\n]*)")
 _TEX_DROP = re.compile(r"~?\\(?:cite[a-z]*|label|ref|eqref|pageref|index|vspace|hspace|usepackage|documentclass|bibliography(?:style)?)\*?(?:\[[^\]]*\])?\{[^{}]*\}")
 _TEX_NOTE = re.compile(r"\\(?:footnote|footnotetext)\{([^{}]*)\}")
+_TEX_TABLE = re.compile(r"\\begin\{(tabular|tabularx|longtable|array)\*?\}(?:\[[^\]\n]*\])?((?:\{(?:[^{}]|\{[^{}]*\})*\})*)(.*?)\\end\{\1\*?\}", re.S)
+_TEX_RULE = re.compile(r"\\(?:hline|toprule|midrule|bottomrule)\b|\\c(?:mid)?(?:line|rule)\{[^{}]*\}")
 _TEX_ENV = re.compile(r"\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]]*\])?")
 _TEX_COMMAND = re.compile(r"(?<![\w:\\/])\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}|(?<=[^\W\d_])\\(?:emph|text\w+|underline)\{([^{}]*)\}")
 _TEX_BARE, _TEX_ESCAPE = re.compile(rf"(?<![\w:\\])\\(?:{_BARE.replace(' ', '|')})\b(?![\\_\w])|(?<=[\w'])\\(?:ldots|dots)\b"), re.compile(r"(?<=\d)\s?\\%|\\\$(?=\d)|(?<=\s)\\[&#](?=\s|\d)|(?<=\w)\\_(?=\w)")
 _BULLET = re.compile(r"^[ \t]*(?:[-*+•–]|\d{1,3}[.)])[ \t]+(\S.*)$")
 
-_OPEN, _CLOSE = "\ue000", "\ue001"  # private use: they bracket the number of a node taken out
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"  # no characters of any text: they bracket the number of a node taken out
 _HOLE = re.compile(_OPEN + r"(\d+)" + _CLOSE)
 
 
@@ -121,6 +124,14 @@ class Reading:
 
         self.rest = pattern.sub(one, self.rest)
 
+    def _until_stable(self, *steps: tuple) -> None:
+        """Steps that each take marks away, over and over until none finds any, for marks inside marks."""
+        before = None
+        while before != self.rest:
+            before = self.rest
+            for step in steps:
+                self._sub(*step)
+
     def _whole(self, m: re.Match) -> str:
         if m["hcomment"] is not None or m["hdrop"] is not None:
             self.languages.add("html")
@@ -151,16 +162,14 @@ class Reading:
 
     def _latex(self) -> None:
         s = self._sub
+        if "\\begin" in self.rest:
+            s(_TEX_TABLE, "latex", lambda m: self._hole("latex", "table", "\n".join(" | ".join(c.strip() for c in re.split(r"(?<!\\)&", row)) for row in re.split(r"\\\\(?:\[[^\]]*\])?", _TEX_RULE.sub("", m[3])) if row.strip())))
         s(_TEX_HEAD, "latex", lambda m: self._hole("latex", "heading", m[1].strip()))
         s(_TEX_DROP, "latex", lambda m: "")
         s(_TEX_NOTE, "latex", lambda m: f" ({m[1].strip()})")
         s(_TEX_ITEM, "latex", lambda m: self._hole("latex", "list_item", m[1].strip()) + "\n")
         s(_TEX_ENV, "latex", lambda m: "\n")
-        for _ in range(3):  # commands inside commands
-            before = self.rest
-            s(_TEX_COMMAND, "latex", lambda m: m[1] if m[1] is not None else m[2])
-            if before == self.rest:
-                break
+        self._until_stable((_TEX_COMMAND, "latex", lambda m: m[1] if m[1] is not None else m[2]))  # commands inside commands
         s(_TEX_BARE, "latex", lambda m: "…" if "dots" in m[0] else " ")
         s(_TEX_ESCAPE, "latex", lambda m: m[0].replace("\\", "").strip() if "%" in m[0] else m[0][1:])
         s(_TEX_QUOTE, "latex", lambda m: f"“{m[1]}”")
@@ -177,12 +186,7 @@ class Reading:
 
         s(_WIKI_TABLE, "wiki", lambda m: self._hole("wiki", "table", "\n".join(" | ".join(c.strip() for c in re.split(r"\|\||!!", r.strip().lstrip("|!"))) for r in m[2].split("\n") if r.strip().lstrip("|!-+ "))))
         s(_WIKI_HEAD, "wiki", lambda m: self._hole("wiki", "heading", m[2]))
-        for _ in range(3):
-            before = self.rest
-            s(_WIKI_LINK, "wiki", link)
-            s(_WIKI_TEMPLATE, "wiki", lambda m: "")
-            if before == self.rest:
-                break
+        self._until_stable((_WIKI_LINK, "wiki", link), (_WIKI_TEMPLATE, "wiki", lambda m: ""))
         s(_WIKI_EXTERNAL, "wiki", lambda m: m[1] or "")
         s(_WIKI_BOLD, "wiki", lambda m: m[1])
         s(_WIKI_ITALIC, "wiki", lambda m: m[1])
@@ -210,11 +214,7 @@ class Reading:
         if "~~" in t:
             s(_MD_STRIKE, "markdown", lambda m: m[1] if re.search(r"\w", m[1]) else None)
         if "*" in t:
-            for _ in range(2):
-                before = self.rest
-                s(_MD_STAR, "markdown", lambda m: (m[2] if m[2] is not None else m[4]) if re.search(r"\w", m[0]) else None)
-                if before == self.rest:
-                    break
+            self._until_stable((_MD_STAR, "markdown", lambda m: (m[2] if m[2] is not None else m[4]) if re.search(r"\w", m[0]) else None))
         if "_" in t:
             s(_MD_UNDER, "markdown", lambda m: m[2])
         if "<" in t:
@@ -264,9 +264,7 @@ class Reading:
         return [(k, t) for k, t in out if t.strip()]
 
     def _filled(self, text: str) -> str:
-        for _ in range(3):
-            if _OPEN not in text:
-                break
+        while _HOLE.search(text):  # a node holds none but earlier ones
             text = _HOLE.sub(lambda m: self.nodes[int(m[1])][2], text)
         return text
 
@@ -369,7 +367,7 @@ def clean_markup(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
 # --- wrapper induction -----------------------------------------------------------------
 
 
-def dom(text: str, depth: int = 12) -> tuple:
+def dom(text: str, depth: int = 200) -> tuple:
     """The DOM tree of a text as (label, content, children), to ``depth`` levels; unclosed elements end with the text."""
     root: list = ["#root", "", []]
     stack, at = [root], 0

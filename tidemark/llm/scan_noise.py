@@ -432,7 +432,7 @@ def repair(stream: str, path: list[dict]) -> str:
     return "\n\n".join(paragraphs(kept.split("\n"))).replace(_JOINT, "\n")
 
 
-_JOINT = "\ue002"  # private use: a line end that stays
+_JOINT = "\ufdd2"  # no character of any text: a line end that stays
 
 
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
