@@ -99,7 +99,17 @@ a AS (SELECT doc_id, i FROM p QUALIFY i > min(i) OVER (PARTITION BY doc_id, g)),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM a, unnest(range(0, 5)) AS t(k) GROUP BY doc_id)
 """
 
+# Lines by their plain words: what is no letter and no symbol becomes a space.
+_LINES = r"""WITH h AS (SELECT doc_id, coalesce(lower(trim(source, ' ')), '') AS host, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, host, unnest(string_split_regex(text, '\r\n|\r|\n')) AS line FROM h),
+p AS (SELECT doc_id, host, line, trim(regexp_replace(lower(line), '[\s\x0b\x{85}\p{Z}\p{P}\p{Nd}]+', ' ', 'g'), ' ') AS plain FROM l),
+f AS (SELECT host, plain, count(DISTINCT doc_id) AS n FROM p WHERE plain <> '' GROUP BY ALL),
+e AS (SELECT host, count(DISTINCT doc_id) AS docs FROM h GROUP BY host),
+o AS (SELECT host, plain, true AS often FROM f JOIN e USING (host) WHERE n > 3 AND n > 0.01 * docs)
+"""
+
 ORACLE = {
+    "p10_lines": _LINES + "SELECT doc_id, CAST(sum(length(line)) AS BIGINT) AS n_chars, CAST(coalesce(sum(length(line)) FILTER (often IS NULL), 0) AS BIGINT) AS kept_chars, coalesce(sum(length(line)) FILTER (often IS NULL), 0) < 0.5 * sum(length(line)) AS rejected FROM p LEFT JOIN o USING (host, plain) WHERE plain <> '' GROUP BY doc_id",
     "p10_found": _SHARES + "SELECT doc_id FROM w JOIN c USING (doc_id) WHERE r >= 0.3 * len(ws)",
     "p10_share": _SHARES + "SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(r, 0) AS repeated_words, coalesce(r, 0) / greatest(len(ws), 1) AS repeated_share FROM w LEFT JOIN c USING (doc_id)",
     "p3_found": r"""WITH limits AS (SELECT item_kind, source_kind, max_chars FROM size_limits),

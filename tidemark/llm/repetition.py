@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.tables import BROADCAST_BYTES, estimated_bytes, scratch, small
+from tidemark import tables
+from tidemark.tables import estimated_bytes, scratch, small
 
 #: Words of a passage.
 WINDOW = 5
@@ -138,7 +139,7 @@ def _meet(lines: DataFrame, often: DataFrame, how: str) -> DataFrame:
     place = f"{scratch(lines.sparkSession, 'frequent')}/rows"
     often.write.parquet(place)
     few = lines.sparkSession.read.parquet(place)
-    if estimated_bytes(few) <= BROADCAST_BYTES:
+    if estimated_bytes(few) <= tables.BROADCAST_BYTES:
         return lines.join(F.broadcast(few), ["host", "line_hash"], how)
     spread = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)))
     copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
