@@ -22,13 +22,13 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its estimated size is within ``limit``.
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its estimated size is within ``limit`` (BROADCAST_BYTES).
 
     Beyond the limit the frame is returned as it is, so that Spark picks a shuffled
     join; AQE then splits skewed partitions of it.
     """
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    return F.broadcast(df) if estimated_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def spread(table: DataFrame, limit: int = 128 << 20) -> DataFrame:
