@@ -3,7 +3,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.split import cut_kind, oversized_items, split_items, split_text
+from tidemark.llm.split import _atoms, cut_kind, oversized_items, room_for, split_items, split_text
 
 
 @settings(max_examples=1500, deadline=None)
@@ -17,7 +17,7 @@ def test_pieces(text, limit, overlap):
         if not forced:
             assert text[e - 1].isspace() or text[e].isspace() or text[e - 1] in "。！？"
     assert all(e - s <= limit for s, e, _ in parts)
-    assert cut_kind(text, limit, overlap) == ("forced" if re.search(rf"\S{{{limit + 1}}}", text) else "natural")
+    assert cut_kind(text, limit, _atoms(text, room_for(limit, overlap))) == ("forced" if re.search(rf"\S{{{limit + 1}}}", text) else "natural")
     if not re.search(rf"\S{{{limit - overlap - 1},}}", text):
         assert not any(f for _, _, f in parts)
 

@@ -67,13 +67,17 @@ def longest_run(text: str, atoms: list[tuple[int, int, int]]) -> int:
     return most
 
 
-def cut_kind(text: str, limit: int, overlap: int) -> str:
-    """``forced`` when the text holds a run without white space longer than the limit, else ``natural``; by the atoms of the text."""
-    room = max(1, limit - max(0, min(overlap, limit // 2)))
-    return "forced" if longest_run(text, _atoms(text, room)) > limit else "natural"
+def room_for(limit: int, overlap: int) -> int:
+    """Code points of an atom at most, so that it fits behind the overlap."""
+    return max(1, limit - max(0, min(overlap, limit // 2)))
 
 
-def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, bool]]:
+def cut_kind(text: str, limit: int, atoms: list[tuple[int, int, int]]) -> str:
+    """``forced`` when the text holds a run without white space longer than the limit, else ``natural``."""
+    return "forced" if longest_run(text, atoms) > limit else "natural"
+
+
+def split_text(text: str, limit: int, overlap: int, atoms: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, bool]]:
     """(start, end, forced) of the pieces of a text over the limit.
 
     A piece begins ``overlap`` code points before the end of the one before it (or at 0),
@@ -84,7 +88,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, bool
     overlap = max(0, min(overlap, limit // 2))
     if len(text) <= limit:
         return [(0, len(text), False)]
-    atoms = _atoms(text, max(1, limit - overlap))
+    atoms = _atoms(text, room_for(limit, overlap)) if atoms is None else atoms
     n = len(atoms)
     start, end = [a[0] for a in atoms], [a[1] for a in atoms]
     strength = [a[2] for a in atoms]
@@ -119,8 +123,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for i, text in enumerate(d["text"]):
             key, limit = tuple(d[k][i] for k in keys), d["max_chars"][i]
-            parts = split_text(text, limit, d["overlap_chars"][i] or 0)
-            cut = cut_kind(text, limit, d["overlap_chars"][i] or 0)
+            overlap = d["overlap_chars"][i] or 0
+            atoms = _atoms(text, room_for(limit, overlap))
+            parts, cut = split_text(text, limit, overlap, atoms), cut_kind(text, limit, atoms)
             rows += [(*key, n, len(parts), s, e, forced, cut, text[s:e]) for n, (s, e, forced) in enumerate(parts)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)] if rows else [pa.array([], f.type) for f in _SCHEMA], names)
 
