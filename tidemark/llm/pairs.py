@@ -32,7 +32,7 @@ from tidemark.tables import spread, training_rows
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 DEFECTS = ("empty", "refusal", "other_language", "truncated", "copied")
 #: Pairs that the field is trained on, of each weakly labelled defect and of sound ones; those with the least hashes.
-SAMPLE = 250
+SAMPLE = 120
 #: Pairs that are labelled for training, at most, by the hash of their key; all are tagged.
 TRAIN_PAIRS = 40_000
 #: Clauses of a response that is trained on, at most; longer ones are only tagged.
